@@ -5,22 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sketchloom.llm import packing, token_file
+from sketchloom.llm import language_id, main_text, packing, pseudonyms, secret_scan, token_file, vector_search
 from sketchloom.llm.staging import table
 
 
+def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = vector_search.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0, k=5)
+    return best.withColumnRenamed("id", "vec_id")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), key=b"linkage key of this corpus")
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_file.write_token_file(table(spark, sf_dir, "documents"), token_file.new_path(spark), end_id=2)
     return token_file.read_token_file(spark, path)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), size=2048, end_id=1)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_search": op1_vector_search,
+    "op2_language_id": op2_language_id,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_token_file": op4_token_file,
+    "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
+    "op7_main_text": op7_main_text,
 }
 ORACLES: dict[str, str] = {}
