@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import language_id, main_text, packing, pseudonyms, secret_scan, token_file, vector_search
+from sketchloom.llm import language_id, main_text, ngram_join, packing, pseudonyms, secret_scan, token_file, vector_search
 from sketchloom.llm.staging import table
 
 
@@ -41,6 +41,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_search": op1_vector_search,
     "op2_language_id": op2_language_id,
@@ -49,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
     "op7_main_text": op7_main_text,
+    "op8_ngram_join": op8_ngram_join,
 }
 ORACLES: dict[str, str] = {}
