@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import language_id, main_text, ngram_join, packing, pseudonyms, secret_scan, token_file, vector_search
+from sketchloom.llm import decontamination, hidden_markov, language_id, main_text, ngram_join, packing, pseudonyms, secret_scan, token_file, vector_search
 from sketchloom.llm.staging import table
 
 
@@ -45,6 +45,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=5)
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_search": op1_vector_search,
     "op2_language_id": op2_language_id,
@@ -54,5 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_main_text": op7_main_text,
     "op8_ngram_join": op8_ngram_join,
+    "op9_hidden_markov": op9_hidden_markov,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
