@@ -35,6 +35,20 @@ def similarities(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("i", "j", "intersection", (x / (F.col("n_i") + F.col("n_j") - F.col("intersection"))).alias("jaccard"), (x / F.col("n_i")).alias("c_ij"), (x / F.col("n_j")).alias("c_ji"))
 
 
+def similar(sized: DataFrame, threshold: float | None = None) -> DataFrame:
+    """sized(id, size, hash) -> what similarities() gives, at the threshold if there is one.
+
+    Sizes ride along with the members, so the plan is one shuffle by hash and one by pair.
+    """
+    a, b = (sized.select(F.col("id").alias(x), F.col("size").alias(f"n_{x}"), "hash") for x in ("i", "j"))
+    half = a.join(b, "hash").where("i < j").groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("intersection"))
+    x = F.col("intersection").cast("double")
+    row = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (x / F.col(f"n_{i}")).alias("c_ij"), (x / F.col(f"n_{j}")).alias("c_ji"))
+    rows = half.select("intersection", (x / (F.col("n_i") + F.col("n_j") - F.col("intersection"))).alias("jaccard"), F.explode(F.array(row("i", "j"), row("j", "i"))).alias("p"))
+    out = rows.select("p.i", "p.j", "intersection", "jaccard", "p.c_ij", "p.c_ji")
+    return out if threshold is None else at_threshold(out, threshold)
+
+
 def float32(threshold: float) -> Column:
     """A threshold as single precision, widened again: 0.1, 0.2 and 0.3 lie above their double values, so a pair exactly at them is dropped."""
     return F.lit(threshold).cast("float").cast("double")

@@ -29,6 +29,12 @@ def members(sketches: DataFrame, bag: bool = False) -> DataFrame:
     return sketches.select("id", F.explode(F.col("mins") if bag else F.array_distinct("mins")).alias("hash"))
 
 
+def sized_members(sketches: DataFrame) -> DataFrame:
+    """(id, size, hash): the long form with every sketch's size, so that later measures need no join with sizes."""
+    distinct = F.array_distinct("mins")
+    return sketches.select("id", F.size(distinct).alias("size"), F.explode(distinct).alias("hash"))
+
+
 def sizes(sketches: DataFrame, bag: bool = False) -> DataFrame:
     return sketches.select("id", F.size(F.col("mins") if bag else F.array_distinct("mins")).alias("size"))
 

@@ -20,8 +20,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, sizes = _documents(spark, sf_dir)
-    return pairs.similarities(pairs.intersections(members), sizes)
+    return pairs.similar(sketches.sized_members(workloads.document_sketches(spark, sf_dir)))
 
 
 def _similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +82,8 @@ def presence_matrix_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dereplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, sizes = _documents(spark, sf_dir)
-    edges = pairs.at_threshold(pairs.similarities(pairs.intersections(members), sizes), 0.05).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    sizes = _documents(spark, sf_dir)[1]
+    edges = pairs.at_threshold(_similar_documents(spark, sf_dir), 0.05).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     return dereplication.dereplicate(sizes, edges)
 
 
@@ -109,8 +108,7 @@ def validate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs at a containment against pairs by Jaccard with each sketch's own, per query."""
-    members, sizes = _documents(spark, sf_dir)
-    similar = pairs.similarities(pairs.intersections(members), sizes)
+    sizes, similar = _documents(spark, sf_dir)[1], _similar_documents(spark, sf_dir)
     own = sizes.where("size > 0").select(F.col("id").alias("i"), F.lit(1.0).alias("jaccard"))
     expected = similar.select("i", "jaccard").union(own)
     return compare.count_check(sizes.select(F.col("id").alias("i")), pairs.at_threshold(similar, EDGE), expected)
@@ -118,7 +116,7 @@ def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recomputed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, sizes = _documents(spark, sf_dir)
-    given = pairs.at_threshold(pairs.similarities(pairs.intersections(members), sizes), EDGE).select("i", "j", F.round("jaccard", 2).alias("jaccard"))
+    given = pairs.at_threshold(_similar_documents(spark, sf_dir), EDGE).select("i", "j", F.round("jaccard", 2).alias("jaccard"))
     return compare.recomputed(given, members, sizes)
 
 

@@ -101,6 +101,14 @@ def test_random_sets(spark):
     assert found == {(i, j): len(sets[i] & sets[j]) for i, j in itertools.permutations(range(25), 2) if sets[i] & sets[j]}
 
 
+def test_sizes_ride_along(spark):
+    df = nested(spark, A, B, C, D)
+    expected = pairs.similarities(pairs.intersections(sketches.members(df)), sketches.sizes(df))
+    columns = ("i", "j", "intersection", "jaccard", "c_ij", "c_ji")
+    assert rows(pairs.similar(sketches.sized_members(df)), *columns) == rows(expected, *columns)
+    assert rows(pairs.similar(sketches.sized_members(df), 0.6), "i", "j") == [(0, 1)]
+
+
 def test_bags(spark):
     bag = spark.createDataFrame([(0, 5), (0, 5), (1, 5)], "id int, hash bigint")
     assert rows(pairs.minimum_multiplicity(bag), "intersection") == [(1,)]
