@@ -6,7 +6,7 @@ import numpy as np
 
 from sketchloom.llm.textscan import mix
 
-LOG_COUNTERS = 22
+LOG_COUNTERS = 23
 SMALL = 24  # sets below this size are indexed by single tokens
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -22,23 +22,23 @@ def cell(grams: np.ndarray) -> np.ndarray:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """Which of h cells hold a token of the set, as bits; h is a power of two of two to four times the set's size, 64 at least."""
-    h = 1 << max(6, (2 * len(grams) - 1).bit_length())
-    bits = np.zeros(h, dtype=np.uint8)
-    bits[((grams >> np.uint64(20)) & np.uint64(h - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """Which of h cells hold one token of the set or more, and which two or more, as two runs of h bits; h is a power of two of one to two times the set's size, 64 at least."""
+    h = 1 << max(6, (len(grams) - 1).bit_length())
+    counts = np.bincount(((grams >> np.uint64(20)) & np.uint64(h - 1)).astype(np.int64), minlength=h)
+    return np.packbits(np.concatenate([counts > 0, counts > 1]), bitorder="little").tobytes()
 
 
 def folded(maps: np.ndarray, width: int) -> np.ndarray:
-    """Rows of 64-bit words as the bitmaps of the same sets over 64 * width cells."""
+    """Rows of 64-bit words as the bitmaps of the same sets over fewer cells, width words a row."""
     while maps.shape[1] > width:
-        half = maps.shape[1] // 2
-        maps = maps[:, :half] | maps[:, half:]
+        quarter = maps.shape[1] // 4
+        a, b, a2, b2 = (maps[:, k * quarter : (k + 1) * quarter] for k in range(4))
+        maps = np.concatenate([a | b, a2 | b2 | (a & b)], axis=1)
     return maps
 
 
 def bound_pairs(maps: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
-    """For rows of two matrices of bitmaps, a number of common tokens that no pair exceeds: a cell that only one set has holds a token that the other lacks."""
+    """For rows of two matrices of bitmaps, a number of common tokens that no pair exceeds: in each cell the smaller count, up to two, and all that cells hold beyond two."""
     width = min(m.shape[1] for m in maps)
     x, y = (folded(m, width) for m in maps)
     spare = [n - np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m, n in zip((x, y), sizes)]
