@@ -9,8 +9,9 @@
 3. Every signature links its members to its first member. Pairs are tested by size and bitmap bound, survivors exactly on
    their whole sets, which a scan fetches for these classes alone. Verified links make components.
 4. Signatures that still join several components give all their pairs of members from different components: short lists
-   by a join of the list with itself, long ones in blocks of BLOCK_ROWS members with the bitmap bound applied in the task,
-   so that only survivors leave it. Pairs within a component need no test. Survivors are verified, and components made anew.
+   by a join of the list with itself; long ones in blocks of BLOCK_ROWS members with the bitmap bound applied in the task,
+   so that only survivors leave it. Long lists that overlap are tested as one family where that takes fewer tests than the
+   lists one by one. Pairs within a component need no test. Survivors are verified, and components made anew.
 
 No pair of classes that may link and isn't in one component already goes untested, so components are exact (up to the
 chance that two of the 64-bit hashes collide). Groups of exact copies take part as one class; groups of near copies are
@@ -22,6 +23,8 @@ word sequence as one. Repeated doc_ids count as one document with several texts.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 from sketchloom.llm import _signatures as sig
 from sketchloom.llm import textscan
 from sketchloom.llm.components import components
-from sketchloom.llm.staging import written
+from sketchloom.llm.staging import small_batches, written
 
 BLOCK = 1 << 16
 SALTS = 16
-LIST_ROWS = 48
+LIST_ROWS = 64
 BLOCK_ROWS = 2048
 FILTER_BITS = 24
 
@@ -69,7 +72,7 @@ def _scan(n: int):
             yield pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), piece.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.array(maps, pa.binary())], schema=schema)
         for b, part in enumerate(counts.reshape(-1, BLOCK)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"kind": [1], "doc_id": [None], "n": [int(part.sum(dtype=np.int64))], "cls": [None], "block": [b], "data": [part.astype("<u2").tobytes()]}, schema)
+                yield pa.RecordBatch.from_pydict({"kind": [1], "doc_id": [None], "n": [None], "cls": [None], "block": [b], "data": [zlib.compress(part.astype("<u2").tobytes(), 1)]}, schema)
 
     return run
 
@@ -78,17 +81,21 @@ def _add_counts(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-            held[b] = held.get(b, 0) + np.frombuffer(data, "<u2").astype(np.int64)
+            more = np.frombuffer(zlib.decompress(data), "<u2").astype(np.uint32)
+            if b in held:
+                held[b] += np.minimum(more, 0xFFFFFFFF - held[b])
+            else:
+                held[b] = more
     for b, total in held.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([zlib.compress(total.astype("<u4").tobytes(), 1)], pa.binary())})
 
 
 def _frequency_classes(scan: DataFrame) -> np.ndarray:
     """The class (0 rare, 1 frequent, 2 very frequent) of every cell of the sketch, 2**LOG_COUNTERS bytes."""
-    counts = np.zeros((1 << sig.LOG_COUNTERS) // BLOCK * BLOCK, dtype=np.int64)
+    counts = np.zeros(1 << sig.LOG_COUNTERS, dtype=np.uint32)
     for b, data in scan.where("kind = 1").select("block", "data").repartition("block").mapInArrow(_add_counts, "block int, data binary").collect():  # one row a block
-        counts[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(data, "<u4")
-    frequent = max(16, 4 * int(counts.sum() >> sig.LOG_COUNTERS))
+        counts[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(zlib.decompress(data), "<u4")
+    frequent = max(16, 4 * (int(counts.sum(dtype=np.uint64)) >> sig.LOG_COUNTERS))
     return (counts >= frequent).astype(np.uint8) + (counts >= 32 * frequent)
 
 
@@ -247,7 +254,7 @@ def _check(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, tested on their whole sets."""
     spark = docs.sparkSession
     pairs = written(pairs, "join-pairs")
-    words = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.col("c").bitwiseAND((1 << FILTER_BITS) - 1).alias("h")).distinct()
+    words = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).select(F.col("c").bitwiseAND((1 << FILTER_BITS) - 1).alias("h")).distinct()
     words = words.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     wanted = np.zeros(1 << FILTER_BITS >> 6, dtype="<i8")
     for w, bits in words.collect():  # at most 2**(FILTER_BITS - 6) rows
@@ -255,27 +262,54 @@ def _check(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
     if not wanted.any():
         return pairs
     sets = docs.mapInArrow(_sets(n, spark.sparkContext.broadcast(wanted.tobytes())), "cls long, high binary, low binary")
-    sets = written(sets.groupBy("cls").agg(F.min(F.struct("high", "low")).alias("s")).select("cls", "s.high", "s.low"), "join-sets")
+    with small_batches(spark):
+        sets = written(sets.groupBy("cls").agg(F.min(F.struct("high", "low")).alias("s")).select("cls", "s.high", "s.low"), "join-sets")
     side = lambda x: sets.toDF(x, f"high_{x}", f"low_{x}")
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "a long, b long"), "join-links")
+    with small_batches(spark):
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "a long, b long"), "join-links")
+
+
+def _long_lists(rows: DataFrame, lists: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(sig, cls, n, comp, first, rows) of the lists(sig, first, rows) -> (a, b) of the pairs from different components that size and bitmaps leave, and (cls, family) of the families that are tested whole."""
+    # a member is tied to the smallest first of its lists, and the firsts of its lists to that one
+    tied = written(rows.select("cls", "first").distinct(), "join-tied")
+    least = tied.groupBy("cls").agg(F.min("first").alias("least"))
+    firsts = tied.join(least, "cls").select("first", "least").distinct()
+    families = components(least.toDF("a", "b").union(firsts.toDF("a", "b"))).toDF("cls", "family")
+    members = written(rows.select("cls", "n", "comp").distinct().join(families, "cls"), "join-families")
+    cost = lists.join(families.toDF("first", "family"), "first").groupBy("family").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("cost"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("rows")).join(cost, "family")
+    sizes = written(sizes.withColumn("whole", F.col("rows").cast("double") * F.col("rows") <= F.col("cost")), "join-family-sizes")
+    tested = members.join(sizes.where("whole").select("family", "rows"), "family").select(F.col("family").alias("sig"), "cls", "n", "comp", "rows")
+    if sizes.where("not whole").limit(1).count():
+        single = lists.join(families.toDF("first", "family"), "first").join(sizes.where("not whole").select("family"), "family", "left_semi").select("sig")
+        tested = tested.union(rows.join(single, "sig", "left_semi").select("sig", "cls", "n", "comp", "rows"))
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    placed = tested.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).join(classes.select("cls", "data"), "cls")
+    placed = placed.withColumn("peer", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("sig", F.least("own", "peer").alias("left"), F.greatest("own", "peer").alias("right"), F.col("own").alias("side"), "comp", "cls", "n", "data")
+    return placed.repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right").mapInArrow(_block_pairs, "a long, b long"), members.join(sizes.where("whole").select("family"), "family").select("cls", "family")
 
 
 def link_classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, cls; labels: node, label) of docs(doc_id, text)."""
     spark = docs.sparkSession
-    scan = written(docs.mapInArrow(_scan(n), "kind int, doc_id long, n long, cls long, block int, data binary"), "join-scan")
+    with small_batches(spark):
+        scan = written(docs.mapInArrow(_scan(n), "kind int, doc_id long, n long, cls long, block int, data binary"), "join-scan")
     members = scan.where("kind = 0").select("doc_id", "n", "cls")
     classes = written(scan.where("kind = 0 and data is not null").groupBy("cls").agg(F.min(F.struct("n", "data")).alias("x")).select("cls", F.col("x.n").cast("int").alias("n"), "x.data"), "join-classes")
     frequency = spark.sparkContext.broadcast(_frequency_classes(scan))
     postings = docs.mapInArrow(_postings(n, frequency), "sig long, salt int, cls long, n int").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "cls")
-    lists = written(postings.mapInArrow(_lists, "sig long, combined boolean, cls long, n int, center long, center_n int"), "join-lists")
+    with small_batches(spark, 4000):
+        lists = written(postings.mapInArrow(_lists, "sig long, combined boolean, cls long, n int, center long, center_n int"), "join-lists")
 
     fits = lambda x, y: (4 * F.col(x) >= 3 * F.col(y)) & (4 * F.col(y) >= 3 * F.col(x))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = lists.where(F.col("cls") != F.col("center")).where(fits("n", "center_n")).select(*pair("cls", "center"))
-    heads = lists.where("combined and cls = center").select("sig", "cls", "n").distinct()
-    first = heads.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("f"))
-    crossed = heads.join(first, "sig").where("cls <> f.cls").where(fits("n", "f.n")).select(*pair("cls", "f.cls"))
+    stars = lists.where("not combined and cls <> center").where(fits("n", "center_n")).select(*pair("cls", "center"))
+    # lists of combinations were salted, so their first member is found by an aggregate
+    combined = lists.where("combined").select("sig", "cls", "n")
+    first = combined.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("f"))
+    crossed = combined.join(first, "sig").where("cls <> f.cls").where(fits("n", "f.n")).select(*pair("cls", "f.cls"))
     side = lambda x: classes.toDF(x, f"n_{x}", f"map_{x}")
     bounded = lambda pairs: pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
     links = _check(docs, n, bounded(stars.union(crossed)))
@@ -283,20 +317,26 @@ def link_classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
     placed = lists.select("sig", "cls", "n").join(labels.toDF("cls", "label"), "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("comp"))
     placed = written(placed, "join-placed")
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("sig", "rows")
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("first"), F.count("*").alias("rows")).where("lo < hi").drop("lo", "hi")
     mixed = written(mixed, "join-mixed")
-    rows = placed.join(mixed, "sig")
-    short = rows.where(F.col("rows") <= LIST_ROWS)
-    other = short.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "comp")])
-    near = short.join(other, "sig").where("cls < cls_2 and comp <> comp_2").where(fits("n", "n_2")).select(F.col("cls").alias("a"), F.col("cls_2").alias("b"))
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    long_ = rows.where(F.col("rows") > LIST_ROWS).withColumn("own", own)
-    long_ = long_.join(classes.select("cls", "data"), "cls").withColumn("peer", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    long_ = long_.select("sig", F.least("own", "peer").alias("left"), F.greatest("own", "peer").alias("right"), F.col("own").alias("side"), "comp", "cls", "n", "data")
-    far = long_.repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right").mapInArrow(_block_pairs, "a long, b long")
-    more = _check(docs, n, bounded(near).union(far).distinct())
-    return members, components(links.union(more)) if more.limit(1).count() else labels
+    rows = written(placed.join(mixed, "sig"), "join-rows")
+    short = rows.where(F.col("rows") <= LIST_ROWS).withColumn("family", F.lit(None).cast("long"))
+    far = None
+    if mixed.where(F.col("rows") > LIST_ROWS).limit(1).count():
+        far, families = _long_lists(rows.where(F.col("rows") > LIST_ROWS), mixed.where(F.col("rows") > LIST_ROWS), classes)
+        short = short.drop("family").join(families, "cls", "left")
+    other = short.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "comp", "family")])
+    untested = F.coalesce(F.col("family") != F.col("family_2"), F.lit(True))  # a family is tested as a whole
+    near = short.join(other, "sig").where("cls < cls_2 and comp <> comp_2").where(untested & fits("n", "n_2")).select(F.col("cls").alias("a"), F.col("cls_2").alias("b"))
+    found = bounded(near) if far is None else bounded(near).union(far)
+    more = _check(docs, n, found.distinct())
+    if not more.limit(1).count():
+        return members, labels
+    at = lambda x: labels.toDF(x, f"label_{x}")
+    merged = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+    tops = components(merged)
+    moved = labels.join(tops.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return members, moved.union(tops.join(labels.select("node"), "node", "left_anti"))
 
 
 def join(docs: DataFrame, n: int = 5) -> DataFrame:
