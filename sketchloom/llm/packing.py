@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
-from sketchloom.llm.staging import written
-from sketchloom.llm.tokenids import encoder, vocabulary_path
+from sketchloom.llm.staging import small_batches, written
+from sketchloom.llm.tokenids import SLICE_BYTES, encoder, vocabulary_path
 
 MAX_QUEUES = 256
 MIN_PIECE = 64
+BROADCAST_ROWS = 1 << 19
 SHIFT = 10
 
 
@@ -115,7 +116,7 @@ def _tokenize(path: str, end_id: int):
         part, reach = TaskContext.get().partitionId(), {}
         coder = encoder(path)
         for batch in batches:
-            for piece in textscan.chunks(batch, "text"):
+            for piece in textscan.chunks(batch, "text", SLICE_BYTES):
                 ids, first = coder.encode(piece.column("text"))
                 ids, counts = np.insert(ids, first[1:], end_id), np.diff(first) + 1
                 ends = np.cumsum(counts)
@@ -141,7 +142,8 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, size:
     and has its end id only; empty input gives no rows; other columns are not read.
     """
     run, schema = _tokenize(tokenizer_path or vocabulary_path(), end_id)
-    rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(run, schema), "packing-ids")
+    with small_batches(docs.sparkSession):
+        rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(run, schema), "packing-ids")
     parts = written(rows.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "packing-queues")
     largest = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1).collect()
     own = {source: k for k, (source, _) in enumerate(largest)}
@@ -157,12 +159,12 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, size:
     # a queue's rows here are one for each partition and source, not one for each document
     starts = numbered.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
+    if parts.count() <= BROADCAST_ROWS:  # else a shuffle join
+        starts = F.broadcast(starts)
     placed = rows.join(starts, (rows.part == starts.p) & rows.source.eqNullSafe(starts.s)).select("doc_id", "source", "queue", (F.col("base") + F.col("place")).alias("place"), "doc_tokens", "ids")
 
     def cut(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             get = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
             doc, start, length, sequence, offset = pieces(plan, get("queue"), get("place"), get("doc_tokens"))
             raw = [memoryview(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")).cast("B") for x in batch.column("ids")]

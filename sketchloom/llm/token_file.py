@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
 from sketchloom.llm.staging import shared_root, written
-from sketchloom.llm.tokenids import encoder, vocabulary_path
+from sketchloom.llm.tokenids import SLICE_BYTES, encoder, vocabulary_path
 
 MAX_LENGTH = 18
 BLOCK_IDS = 256
@@ -147,7 +147,7 @@ def _tokenize(path: str, end_id: int):
 
         coder = encoder(path)
         for batch in batches:
-            for piece in textscan.chunks(batch, "text"):
+            for piece in textscan.chunks(batch, "text", SLICE_BYTES):
                 ids, first = coder.encode(piece.column("text"))
                 doc_ids = piece.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
                 with_end = np.insert(ids, first[1:], end_id)

@@ -14,7 +14,8 @@ import pyarrow as pa
 
 from sketchloom.llm import textscan
 
-CACHE_STRETCHES = 2_000_000
+CACHE_STRETCHES = 1_000_000
+SLICE_BYTES = 1 << 18  # of text that is encoded at once
 _THREE = np.zeros(256, dtype=bool)
 _THREE[[0xE1, 0xE2, 0xE3]] = True  # first bytes of all white space outside ASCII and Latin-1
 _LATIN = np.zeros(256, dtype=bool)
