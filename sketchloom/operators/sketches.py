@@ -32,7 +32,8 @@ def members(sketches: DataFrame, bag: bool = False) -> DataFrame:
 def sized_members(sketches: DataFrame) -> DataFrame:
     """(id, size, hash): the long form with every sketch's size, so that later measures need no join with sizes."""
     distinct = F.array_distinct("mins")
-    return sketches.select("id", F.size(distinct).alias("size"), F.explode(distinct).alias("hash"))
+    # two steps: beside an explode the size would be computed anew for every member
+    return sketches.select("id", F.size(distinct).alias("size"), distinct.alias("d")).select("id", "size", F.explode("d").alias("hash"))
 
 
 def sizes(sketches: DataFrame, bag: bool = False) -> DataFrame:

@@ -20,7 +20,8 @@ def text_sketches(rows: DataFrame, id_column: str, n: int = 3) -> DataFrame:
     # the words are bound by a lambda, so that no optimizer rule copies their split into the loop over n-grams
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: hash60(F.array_join(F.slice(w, i, n), " ")))
     sets = F.transform(F.array(F.split(F.lower("text"), r"\s+")), lambda w: F.when(F.size(w) >= n, F.array_distinct(grams(w))).otherwise(F.array().cast("array<bigint>")))
-    return rows.select(F.col(id_column).alias("id"), sets[0].alias("mins"))
+    # exploding one array of sets makes them a column that is computed once, however often plans above refer to it
+    return rows.select(F.col(id_column).alias("id"), F.explode(sets).alias("mins"))
 
 
 def document_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
