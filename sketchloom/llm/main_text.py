@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. A line of navigation, headers, footers, sidebars, notices,
-adverts, forms, reader comments, scripts and styles counts no text, and where a page marks its article, neither does a
-line outside it. Text lengths are summed over windows of WINDOW lines. Where a window's sum rises from nothing to
-SURGE characters or more the text begins, at the dive back to nothing it ends, and the lines between that count text are
-kept, short ones included. Inside a marked article any text is a surge; elsewhere a line mostly of links counts no text.
+adverts, forms, reader comments, scripts and styles counts no text, nor does a line mostly of links outside a marked
+article. Weighted text lengths are summed over windows of WINDOW lines. Where a window's sum rises from nothing to SURGE or
+more the text begins, at the dive back to nothing it ends, and the lines between that count text are kept, short ones
+included.
+
+Marks only weigh lines. Where the marked article holds at least as much text as the rest, its lines weigh MARKED times
+their length and lines outside it what they have over OUTSIDE characters; where it holds less (an empty <main>, articles
+that are teasers) marks are not regarded. A first heading weighs MARKED times its length on every page.
 
 A page without any surge falls back to its lines that count text. Null and empty pages have an empty text. Rows are
 independent; other columns than page_id, url and html are not read.
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 40
+MARKED = 4
+OUTSIDE = 2 * SURGE
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("nav header footer aside form menu dialog button select option textarea script style noscript template svg iframe object head title canvas audio video map math label input fieldset datalist search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +38,10 @@ NOISE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+NEXT_TAG = re.compile(r"</?[A-Za-z]")
+NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")  # a slash after an unquoted value belongs to the value
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li option".split())
 
 
@@ -47,12 +57,12 @@ def _is_noise(tag: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
-    """(text, counts, inside an article, characters in links) of every line, and whether the page marks an article."""
-    out: list[tuple[str, bool, bool, int]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, int, bool]]:
+    """(text, counts, inside an article, characters in links, in a first heading) of every line."""
+    out: list[tuple[str, bool, bool, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, noise here, inside an article
     held: list[str] = []
-    noise = article = marked = False
+    noise = article = False
     links = link_chars = 0
     at = 0
 
@@ -61,7 +71,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, not noise, article, link_chars))
+            out.append((text, not noise, article, link_chars, any(x[0] == "h1" for x in stack)))
         link_chars = 0
 
     def put(text: str):
@@ -83,9 +93,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
             close()
         if tag == "a":
             links = max(0, links + (1 if opens else -1))
+        if opens and tag in SKIPPED and SELF_CLOSED.search(m[3]):
+            continue
         if opens and tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = ENDS[tag].search(page, at)
+            if not end:  # never closed: only what comes before the next tag (of code, the next block) is its own
+                end = (NEXT_BLOCK if tag in ("script", "style") else NEXT_TAG).search(page, at)
+                at = end.start() if end else len(page)
+            else:
+                at = end.end()
             continue
         if opens and tag not in VOID:
             if tag in BLOCKS and stack and stack[-1][0] in CLOSED_BY_BLOCK and (stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1][0] == tag):
@@ -93,24 +109,33 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
             if tag in BLOCKS or tag in SKIPPED or tag == "span":
                 up = stack[-1] if stack else ("", False, False)
                 stack.append((tag, up[1] or _is_noise(tag, m[3]), up[2] or tag in ("article", "main")))
-                marked = marked or (tag in ("article", "main") and not stack[-1][1])
         elif not opens and any(x[0] == tag for x in stack):
             while stack.pop()[0] != tag:
                 pass
         noise, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     put(page[at:] if not page[at:].lstrip().startswith("<") else "")
     close()
-    return out, marked
+    return out
+
+
+def weights(lines: list[tuple[str, bool, bool, int, bool]]) -> list[int]:
+    """What every line brings to its windows."""
+    counts = [len(text) if ok and 2 * link <= len(text) else 0 for text, ok, _, link, _ in lines]
+    within = [len(text) if ok and inside else 0 for text, ok, inside, _, _ in lines]
+    rest = sum(n for n, (_, _, inside, _, _) in zip(counts, lines) if not inside)
+    if sum(within) and sum(within) >= rest:
+        return [MARKED * n if inside else max(0, c - OUTSIDE) for n, c, (_, _, inside, _, _) in zip(within, counts, lines)]
+    return [MARKED * n if heading else n for n, (*_, heading) in zip(counts, lines)]
 
 
 def main_text(page: str | None) -> str:
-    lines, marked = lines_of(page or "")
-    counts = [len(text) if ok and (inside or not marked) and (marked or 2 * link <= len(text)) else 0 for text, ok, inside, link in lines]
+    lines = lines_of(page or "")
+    counts = weights(lines)
     sums = [sum(counts[i : i + WINDOW]) for i in range(len(counts))]
     keep = [False] * len(counts)
-    begun, surge = False, 1 if marked else SURGE
+    begun = False
     for i, total in enumerate(sums):
-        begun = total > 0 and (begun or total >= surge)  # surge to dive
+        begun = total > 0 and (begun or total >= SURGE)  # surge to dive
         if begun:
             for j in range(i, min(i + WINDOW, len(counts))):
                 keep[j] = True
