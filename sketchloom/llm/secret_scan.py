@@ -2,8 +2,9 @@
 
 A stretch of at least MIN_RUN characters of keys, digits and their punctuation is random if a byte-pair vocabulary needs
 many tokens for it: words and identifiers have merges, random strings don't. Known digests (hex of a digest's length),
-UUIDs, paths, numbers, dates and identifiers made of words are excluded before the test, and stretches that overlap a
-base match add nothing.
+UUIDs, plain numbers, one or two characters repeated and stretches made of words are excluded before the test; words are told by the same efficiency, in
+small letters and apart, as case and joints split their merges. Of a stretch that overlaps base matches, the parts outside
+them are tested: parts of MIN_RUN alone, shorter ones where they go on an access or hex match without a joint.
 
 Null and empty texts give no spans. Rows are independent, so repeated rows give repeated results, and extra columns are
 kept unless scan() is asked for digests. Offsets are code points, ends exclusive.
@@ -33,7 +34,7 @@ MAX_RATIO = 2.1
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-WORDY = re.compile(r"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[-_/=+.]*(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[-_/=+]*\Z")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RUN_BYTES = np.zeros(256, dtype=bool)
 _RUN_BYTES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
@@ -51,15 +52,20 @@ def vocabulary(path: str):
     return _vocabularies[path]
 
 
-def is_identifier(run: str) -> bool:
+def ratio(run: str, coder) -> float:
+    """Characters per token."""
+    return len(run) / len(coder.encode_ordinary(run))
+
+
+def is_identifier(run: str, coder, max_ratio: float = MAX_RATIO) -> bool:
     """Whether a stretch is a known digest, a UUID, a number or made of words and short numbers."""
-    digits = sum(c.isdigit() for c in run)
-    if digits < 3 or digits == len(run) or DIGEST.match(run) or UUID.match(run):
-        return True
-    if not re.search(r"[A-Za-z]", run):
+    if DIGEST.match(run) or UUID.match(run) or not re.search(r"[A-Za-z]", run) or len(set(run)) < 3:
         return True
-    parts = re.findall(r"[a-z]+|[A-Z]+|[0-9]+", run)
-    return bool(WORDY.match(run)) and len(parts) * 4 <= len(run)
+    parts = PARTS.findall(run)
+    words = [x for x in parts if x.isalpha()]
+    if len(parts) * 4 > len(run) or any(len(x) > 4 for x in parts if x.isdigit()):
+        return False
+    return sum(map(len, words)) > max_ratio * sum(len(coder.encode_ordinary(" " + x.lower())) for x in words)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,13 +77,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], coder, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    out, taken = [], [(a, b) for a, _, b in base]
+    out = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if is_identifier(m[0]) or any(x < b and a < y for x, y in taken):
+        hits = [x for x in base if x[0] < b and a < x[2]]
+        if not hits:
+            if not is_identifier(m[0], coder, max_ratio) and ratio(m[0], coder) <= max_ratio:
+                out.append((a, 3, b))
             continue
-        if len(m[0]) / len(coder.encode_ordinary(m[0])) <= max_ratio:
-            out.append((a, 3, b))
+        at = a
+        for x, _, y in [*hits, (b, -1, b)]:
+            part = text[at:x]
+            goes_on = any(k in (1, 2) and (q == at and part[:1].isalnum() or p == x and part[-1:].isalnum()) for p, k, q in hits)
+            if part and (len(part) >= MIN_RUN or goes_on) and not is_identifier(part, coder, max_ratio) and ratio(part, coder) <= max_ratio:
+                out.append((at, 3, x))
+            at = max(at, y)
     return out
 
 
