@@ -17,7 +17,10 @@ def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+    """Rows of documents, then rows of pages with page_id instead of doc_id: each table has models and sums of its own."""
+    docs = language_id.identify_documents(table(spark, sf_dir, "documents")).withColumn("page_id", F.lit(None).cast("long"))
+    pages = language_id.identify_pages(table(spark, sf_dir, "pages")).withColumn("page_id", F.col("doc_id")).withColumn("doc_id", F.lit(None).cast("long"))
+    return docs.unionByName(pages)
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
