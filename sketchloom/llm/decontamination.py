@@ -6,7 +6,9 @@ that each is broadcast whole, are looked up by every position of every document
 item and a diagonal. Around it the document's words are compared with the item's, and the overlap counts where a window of
 WINDOW words (the whole item, if shorter) has a share of MIN_EQUAL equal. One scan a block, no shuffle of documents.
 
-Items of fewer than SPAN words are too short to tell and take no part. Null texts are empty. Repeated rows and items give
+Items of fewer than WINDOW words are cut into one run of words more than may differ, so that a run stays whole wherever the
+item is admissible; documents' runs are looked up and the whole item compared. A one-word item thus overlaps every document
+with that word. Items with a null id take part and are given with it. Null texts are empty. Repeated rows and items give
 repeated results; of the overlaps of one row with one item the longest is given. Extra columns are not read by find() and
 kept by drop_leaks().
 """
@@ -31,6 +33,13 @@ BLOCK_SEEDS = 1 << 22
 FILTER_BITS = 23
 
 
+def runs(n: int) -> list[tuple[int, int]]:
+    """(start, words) of the runs of an item of n words of which one is whole where MIN_EQUAL of the item is equal."""
+    cuts = n - math.ceil(MIN_EQUAL * n) + 1
+    at = [n * k // cuts for k in range(cuts + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
 def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     """The mask's seed at every position, rows not regarded."""
     m = max(0, len(hashes) - SPAN + 1)
@@ -43,14 +52,14 @@ def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
 class Index:
     """The seeds of a block of items, sorted, with a bit for each in a filter of fixed size."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = np.array([i for i, _ in items], dtype=np.int64)
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.ids = [i for i, _ in items]
         self.words, first = textscan.words(*textscan.column_bytes(pa.array([t for _, t in items], pa.string())))
         self.first = first
         item = np.repeat(np.arange(len(items)), np.diff(first))
         place = np.arange(len(self.words)) - first[:-1][item] if len(items) else np.zeros(0, np.int64)
         whole = place[: max(0, len(item) - SPAN + 1)] + SPAN <= np.diff(first)[item[: max(0, len(item) - SPAN + 1)]]
-        at = np.flatnonzero(whole)
+        at = np.flatnonzero(whole & (np.diff(first)[item[: len(whole)]] >= WINDOW))
         found = [seeds(self.words, k)[at] for k in range(len(MASKS))]
         order = [np.argsort(x, kind="stable") for x in found]
         self.seeds = [x[o] for x, o in zip(found, order)]
@@ -61,8 +70,43 @@ class Index:
             bits = np.zeros(1 << FILTER_BITS, dtype=bool)
             bits[x >> np.uint64(64 - FILTER_BITS)] = True
             self.filters.append(np.packbits(bits))
-
-    def overlaps(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        held: dict[int, list[tuple[int, int]]] = {}  # words of a run: items and places
+        for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < WINDOW)).tolist():
+            for start, n in runs(int(first[i + 1] - first[i])):
+                held.setdefault(n, []).append((i, start))
+        self.runs = {}
+        for n, places in held.items():
+            of, start = np.array(places).T
+            found = textscan.gram_hashes(self.words, n)[first[of] + start]
+            order = np.argsort(found, kind="stable")
+            self.runs[n] = (found[order], of[order], start[order])
+
+    def _short(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, tuple[int, int, int]]]:
+        """(row, item, overlap) of the items of fewer than WINDOW words."""
+        candidates = []
+        for n, (sorted_, of, start) in self.runs.items():
+            mine = textscan.gram_hashes(hashes, n)
+            lo, hi = (np.searchsorted(sorted_, mine, side=s) for s in ("left", "right"))
+            at = np.flatnonzero(hi > lo)
+            many = (hi - lo)[at]
+            pick = np.repeat(lo[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            row = np.searchsorted(first, at, side="right") - 1
+            candidates.append(np.stack([np.repeat(row, many), of[pick], np.repeat(at, many) - start[pick]], axis=1))
+        if not candidates:
+            return []
+        row, item, diagonal = np.unique(np.concatenate(candidates), axis=0).T
+        size = np.diff(self.first)[item]
+        fits = (diagonal >= first[row]) & (diagonal + size <= first[row + 1])
+        row, item, diagonal, size = row[fits], item[fits], diagonal[fits], size[fits]
+        out = []
+        for n in np.unique(size).tolist():
+            r, i, d = row[size == n], item[size == n], diagonal[size == n]
+            equal = (hashes[d[:, None] + np.arange(n)] == self.words[self.first[i][:, None] + np.arange(n)]).sum(axis=1)
+            good = equal >= math.ceil(MIN_EQUAL * n)
+            out += [(a, b, (c, n, e)) for a, b, c, e in zip(r[good].tolist(), i[good].tolist(), (d - first[r])[good].tolist(), equal[good].tolist())]
+        return out
+
+    def overlaps(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int | None, int, int, int]]:
         """(row, item id, start word in the row, words, equal words) for documents given by their words' hashes."""
         candidates = []
         for k in range(len(MASKS)):
@@ -78,13 +122,14 @@ class Index:
             at, lo, many, row = at[inside], lo[inside], many[inside], row[inside]
             pick = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             candidates.append(np.stack([np.repeat(row, many), self.item[k][pick], np.repeat(at, many) - self.place[k][pick]], axis=1))
-        if not candidates:
-            return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, diagonal in np.unique(np.concatenate(candidates), axis=0).tolist():
+        for row, item, hit in self._short(hashes, first):
+            if hit[1:] > best.get((row, item), (0, 0, 0))[1:]:
+                best[row, item] = hit
+        for row, item, diagonal in np.unique(np.concatenate(candidates), axis=0).tolist() if candidates else []:
             if (hit := self._verify(hashes, first[row], first[row + 1], item, diagonal)) and hit[1:] > best.get((row, item), (0, 0, 0))[1:]:
                 best[row, item] = hit
-        return [(row, int(self.ids[item]), *hit) for (row, item), hit in sorted(best.items())]
+        return [(row, self.ids[item], *hit) for (row, item), hit in sorted(best.items())]
 
     def _verify(self, hashes: np.ndarray, begin: int, end: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
         words = self.words[self.first[item] : self.first[item + 1]]
@@ -103,7 +148,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame):
     """Items in blocks of at most BLOCK_SEEDS words (one item at least), read by the driver block by block."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     held, size = [], 0
     for i, text in items.toLocalIterator():
         n = len(MASKS) * len(text.split())
