@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.staging import written
+from sketchloom.llm.staging import released, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,10 @@ def components(links: DataFrame) -> DataFrame:
         # a label is a node, so its own label is a label as well
         jumped = moved.join(labels.toDF("to", "jump"), "to").select("node", "label", F.least("to", "jump").alias("new"))
         jumped = written(jumped, "component-labels")
+        released(labels)
         changed = jumped.where("new <> label").limit(1).count()
         labels = jumped.select("node", F.col("new").alias("label"))
         if not changed:
+            released(both)
             return labels
+        labels.staged_path = jumped.staged_path

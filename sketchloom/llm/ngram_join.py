@@ -8,14 +8,16 @@
    those of frequent tokens salted, and streamed in order; rare ones met once are dropped there.
 3. Every signature links its members to its first member. Pairs are tested by size and bitmap bound, survivors exactly on
    their whole sets, which a scan fetches for these classes alone. Verified links make components.
-4. Signatures that still join several components give all their pairs of members from different components: short lists
-   by a join of the list with itself; long ones in blocks of BLOCK_ROWS members with the bitmap bound applied in the task,
-   so that only survivors leave it. Long lists that overlap are tested as one family where that takes fewer tests than the
-   lists one by one. Pairs within a component need no test. Survivors are verified, and components made anew.
+4. Signatures that still join several components: of lists longer than LIST_ROWS, all with the same first member form a
+   group. A group's members are dealt to blocks, bounded in rows and bytes, and each pair of blocks is one task's work: it
+   holds the members' whole sets, rules pairs out by component, size and bitmap bound, tests the rest exactly, and gives
+   only the links that join components, less than one a member. Components are made anew.
+5. Lists of at most LIST_ROWS members that still join several components are joined with themselves, which makes at most
+   LIST_ROWS / 2 pairs a row; these are tested as in 3, and components are made anew.
 
 No pair of classes that may link and isn't in one component already goes untested, so components are exact (up to the
 chance that two of the 64-bit hashes collide). Groups of exact copies take part as one class; groups of near copies are
-never expanded into pairs once they are connected.
+never expanded into pairs outside the task that tests them.
 
 A null or empty text has no n-grams, n_shingles 0, and is its own component; a text of fewer than n words has its whole
 word sequence as one. Repeated doc_ids count as one document with several texts. Extra columns are not read.
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 from sketchloom.llm import _signatures as sig
 from sketchloom.llm import textscan
 from sketchloom.llm.components import components
-from sketchloom.llm.staging import small_batches, written
+from sketchloom.llm.staging import released, small_batches, unless_large, written
 
 BLOCK = 1 << 16
 SALTS = 16
 LIST_ROWS = 64
 BLOCK_ROWS = 2048
+BLOCK_GRAMS = 1 << 20  # of all sets of a block
+BROADCAST_KEYS = 1 << 22
 FILTER_BITS = 24
 
 
@@ -50,7 +54,7 @@ def _rows(batches, n):
 
 
 def _scan(n: int):
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
 
     def run(batches):
         seen: set[int] = set()
@@ -69,10 +73,10 @@ def _scan(n: int):
                 cells, k = np.unique(sig.cell(np.concatenate(fresh)), return_counts=True)
                 counts[cells] = np.minimum(counts[cells].astype(np.int64) + k, 65535)
             rows = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), piece.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.array(maps, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), piece.column("key"), piece.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.array(maps, pa.binary())], schema=schema)
         for b, part in enumerate(counts.reshape(-1, BLOCK)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"kind": [1], "doc_id": [None], "n": [None], "cls": [None], "block": [b], "data": [zlib.compress(part.astype("<u2").tobytes(), 1)]}, schema)
+                yield pa.RecordBatch.from_pydict({"kind": [1], "key": [None], "doc_id": [None], "n": [None], "cls": [None], "block": [b], "data": [zlib.compress(part.astype("<u2").tobytes(), 1)]}, schema)
 
     return run
 
@@ -174,46 +178,91 @@ def _bounded(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _block_pairs(batches):
-    """Rows come sorted by (sig, left, right); a block pair's rows are at most 2 * BLOCK_ROWS. Gives its pairs from different components that size and bitmaps don't rule out."""
-
-    def pairs(rows):
-        comp, cls, n, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("comp", "cls", "n", "side"))
-        width = np.array([len(r["data"]) for r in rows])
+class _Block:
+    """The rows of a pair of blocks: classes with their whole sets, components, and the side each is of."""
+
+    def __init__(self, rows: list[dict]):
+        self.cls, self.comp, self.side = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("cls", "comp", "side"))
+        sets = [_whole(r["high"], r["low"]) for r in rows]
+        self.n = np.array([len(x) for x in sets], dtype=np.int64)
+        self.both_sides = rows[0]["left"] != rows[0]["right"]
+        maps = [sig.bitmap(x << np.uint64(16)) for x in sets]
+        width = np.array([len(m) for m in maps])
+        self.groups = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+        self.maps = {w: _matrix([maps[i] for i in at]) for w, at in self.groups.items()}
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.grams = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.here = np.zeros(int(self.grams.max()) + 1, dtype=np.int64)
+
+    def _equal(self, left: int, rights: np.ndarray) -> np.ndarray:
+        """How many n-grams a row has in common with each of the others."""
+        mine = self.grams[self.first[left] : self.first[left + 1]]
+        self.here[mine] = 1
+        at = np.concatenate([self.grams[self.first[r] : self.first[r + 1]] for r in rights.tolist()])
+        out = np.add.reduceat(self.here[at], np.concatenate([[0], np.cumsum(self.n[rights])[:-1]]))
+        self.here[mine] = 0
+        return out
+
+    def _likely(self, left: np.ndarray, left_maps: np.ndarray, right: np.ndarray, right_maps: np.ndarray, same: bool) -> np.ndarray:
+        """Which pairs of rows neither components, sides, sizes nor bitmaps rule out."""
+        n, m = self.n[left][:, None], self.n[right]
+        ok = (self.comp[left][:, None] != self.comp[right]) & (4 * n >= 3 * m) & (4 * m >= 3 * n)
+        if same:
+            ok &= self.cls[left][:, None] < self.cls[right]
+        if self.both_sides:
+            ok &= self.side[left][:, None] != self.side[right]
+        i, j = np.nonzero(ok)
+        spare = [self.n[at] - np.bitwise_count(maps).sum(axis=1, dtype=np.int64) for at, maps in ((left, left_maps), (right, right_maps))]
+        common = np.bitwise_count(left_maps[i] & right_maps[j]).sum(axis=1, dtype=np.int64) + np.minimum(spare[0][i], spare[1][j])
+        ok[i, j] = sig.linked(common, self.n[left][i], self.n[right][j])
+        return ok
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that join components, one for each component that a row joins to its own."""
         found = []
-        groups = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
-        maps = {w: _matrix([rows[i]["data"] for i in at]) for w, at in groups.items()}
-        for w, at in groups.items():
+        for w, at in self.groups.items():
             for v in (w, 2 * w):
-                if v not in groups:
+                if v not in self.groups:
                     continue
-                right, right_maps = groups[v], sig.folded(maps[v], w // 8)
-                spare_r = n[right] - np.bitwise_count(right_maps).sum(axis=1, dtype=np.int64)
+                right, right_maps = self.groups[v], sig.folded(self.maps[v], w // 8)
                 for k in range(0, len(at), 64):
-                    left, left_maps = at[k : k + 64], maps[w][k : k + 64]
-                    spare_l = n[left] - np.bitwise_count(left_maps).sum(axis=1, dtype=np.int64)
-                    ok = (comp[left][:, None] != comp[right]) & ((cls[left][:, None] < cls[right]) | (v != w))
-                    ok &= (4 * n[left][:, None] >= 3 * n[right]) & (4 * n[right] >= 3 * n[left][:, None])
-                    if rows[0]["left"] != rows[0]["right"]:
-                        ok &= side[left][:, None] != side[right]
-                    i, j = np.nonzero(ok)
-                    if not len(i):
-                        continue
-                    common = np.bitwise_count(left_maps[i] & right_maps[j]).sum(axis=1, dtype=np.int64) + np.minimum(spare_l[i], spare_r[j])
-                    good = sig.linked(common, n[left][i], n[right][j])
-                    found.append(np.sort(np.stack([cls[left][i[good]], cls[right][j[good]]], axis=1), axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                    left = at[k : k + 64]
+                    likely = self._likely(left, self.maps[w][k : k + 64], right, right_maps, v == w)
+                    for i in np.flatnonzero(likely.any(axis=1)).tolist():
+                        row = left[i]
+                        rights = right[likely[i] & (self.comp[right] != self.comp[row])]
+                        if not len(rights):
+                            continue
+                        rights = rights[sig.linked(self._equal(row, rights), self.n[row], self.n[rights])]
+                        joined, where = np.unique(self.comp[rights], return_index=True)
+                        found += [(int(self.cls[row]), int(self.cls[rights[x]])) for x in where.tolist()]
+                        if len(joined):
+                            self.comp[np.isin(self.comp, joined)] = self.comp[row]
+        return found
+
+
+def _block_links(batches):
+    """Rows come sorted by (first, left, right). Gives the links between components that each pair of blocks holds."""
+
+    def out(rows):
+        a, b = np.array(_Block(rows).links(), dtype=np.int64).reshape(-1, 2).T if len(rows) > 1 else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     key, rows = None, []
     for batch in batches:
         for r in batch.to_pylist():
-            if (now := (r["sig"], r["left"], r["right"])) != key:
-                if rows and len(out := pairs(rows)):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+            if (now := (r["first"], r["left"], r["right"])) != key:
+                if rows:
+                    yield out(rows)
                 key, rows = now, []
             rows.append(r)
-    if rows and len(out := pairs(rows)):
-        yield pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+    if rows:
+        yield out(rows)
+
+
+def _whole(high: bytes, low: bytes) -> np.ndarray:
+    """The upper 48 bits of every n-gram of a set."""
+    return np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2")
 
 
 def _sets(n: int, wanted):
@@ -238,67 +287,85 @@ def _sets(n: int, wanted):
 
 
 def _verified(batches):
-    def whole(high, low):
-        return np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(16) | np.frombuffer(low, "<u2")
-
     for batch in batches:
         keep = []
         for ha, la, hb, lb in zip(*(batch.column(c).to_pylist() for c in ("high_a", "low_a", "high_b", "low_b"))):
-            x, y = whole(ha, la), whole(hb, lb)
+            x, y = _whole(ha, la), _whole(hb, lb)
             both = np.sort(np.concatenate([x, y]), kind="stable")
             keep.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(x) + len(y)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _check(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, tested on their whole sets."""
+def _fetched(docs: DataFrame, n: int, classes: DataFrame) -> DataFrame | None:
+    """(cls, high, low): the whole sets of classes(c), by a scan that passes over most others; None without any."""
     spark = docs.sparkSession
-    pairs = written(pairs, "join-pairs")
-    words = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).select(F.col("c").bitwiseAND((1 << FILTER_BITS) - 1).alias("h")).distinct()
+    words = classes.select(F.col("c").bitwiseAND((1 << FILTER_BITS) - 1).alias("h")).distinct()
     words = words.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     wanted = np.zeros(1 << FILTER_BITS >> 6, dtype="<i8")
     for w, bits in words.collect():  # at most 2**(FILTER_BITS - 6) rows
         wanted[w] = bits
     if not wanted.any():
-        return pairs
+        return None
     sets = docs.mapInArrow(_sets(n, spark.sparkContext.broadcast(wanted.tobytes())), "cls long, high binary, low binary")
     with small_batches(spark):
-        sets = written(sets.groupBy("cls").agg(F.min(F.struct("high", "low")).alias("s")).select("cls", "s.high", "s.low"), "join-sets")
+        return written(sets.groupBy("cls").agg(F.min(F.struct("high", "low")).alias("s")).select("cls", "s.high", "s.low"), "join-sets")
+
+
+def _check(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link, tested on their whole sets."""
+    pairs = written(pairs, "join-pairs")
+    sets = _fetched(docs, n, pairs.select(F.col("a").alias("c")).union(pairs.select("b")))
+    if sets is None:
+        return pairs
     side = lambda x: sets.toDF(x, f"high_{x}", f"low_{x}")
-    with small_batches(spark):
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "a long, b long"), "join-links")
-
-
-def _long_lists(rows: DataFrame, lists: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows(sig, cls, n, comp, first, rows) of the lists(sig, first, rows) -> (a, b) of the pairs from different components that size and bitmaps leave, and (cls, family) of the families that are tested whole."""
-    # a member is tied to the smallest first of its lists, and the firsts of its lists to that one
-    tied = written(rows.select("cls", "first").distinct(), "join-tied")
-    least = tied.groupBy("cls").agg(F.min("first").alias("least"))
-    firsts = tied.join(least, "cls").select("first", "least").distinct()
-    families = components(least.toDF("a", "b").union(firsts.toDF("a", "b"))).toDF("cls", "family")
-    members = written(rows.select("cls", "n", "comp").distinct().join(families, "cls"), "join-families")
-    cost = lists.join(families.toDF("first", "family"), "first").groupBy("family").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("cost"))
-    sizes = members.groupBy("family").agg(F.count("*").alias("rows")).join(cost, "family")
-    sizes = written(sizes.withColumn("whole", F.col("rows").cast("double") * F.col("rows") <= F.col("cost")), "join-family-sizes")
-    tested = members.join(sizes.where("whole").select("family", "rows"), "family").select(F.col("family").alias("sig"), "cls", "n", "comp", "rows")
-    if sizes.where("not whole").limit(1).count():
-        single = lists.join(families.toDF("first", "family"), "first").join(sizes.where("not whole").select("family"), "family", "left_semi").select("sig")
-        tested = tested.union(rows.join(single, "sig", "left_semi").select("sig", "cls", "n", "comp", "rows"))
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    placed = tested.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).join(classes.select("cls", "data"), "cls")
-    placed = placed.withColumn("peer", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("sig", F.least("own", "peer").alias("left"), F.greatest("own", "peer").alias("right"), F.col("own").alias("side"), "comp", "cls", "n", "data")
-    return placed.repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right").mapInArrow(_block_pairs, "a long, b long"), members.join(sizes.where("whole").select("family"), "family").select("cls", "family")
+    with small_batches(docs.sparkSession):
+        links = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "a long, b long"), "join-links")
+    released(sets, pairs)
+    return links
+
+
+def _long_lists(docs: DataFrame, n: int, rows: DataFrame) -> DataFrame:
+    """rows(cls, n, comp, first) of lists -> (a, b): links that join the components of all that link among members of lists with the same first."""
+    tied = written(rows.select("cls", "n", "comp", "first").distinct(), "join-tied")
+    sets = _fetched(docs, n, tied.select(F.col("cls").alias("c")).distinct())
+    size = tied.groupBy("first").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    placed = tied.join(size, "first").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(sets, "cls")
+    placed = placed.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("first", F.least("own", "peer").alias("left"), F.greatest("own", "peer").alias("right"), F.col("own").alias("side"), "comp", "cls", "high", "low")
+    with small_batches(docs.sparkSession):
+        links = written(placed.repartition("first", "left", "right").sortWithinPartitions("first", "left", "right").mapInArrow(_block_links, "a long, b long"), "join-links")
+    released(tied, sets)
+    return links
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label) after links(a, b) between nodes, with or without labels so far."""
+    at = lambda x: labels.toDF(x, f"label_{x}")
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+    tops = components(between)
+    moved = labels.join(tops.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return written(moved.union(tops.join(labels.select("node"), "node", "left_anti")), "join-labels")
+
+
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, cls, n, comp, first, rows) of the lists(sig, cls, n) that join several components."""
+    placed = lists.select("sig", "cls", "n").join(labels.toDF("cls", "label"), "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("comp"))
+    placed = written(placed, "join-placed")
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("first"), F.count("*").alias("rows")).where("lo < hi").drop("lo", "hi")
+    rows = written(placed.join(mixed, "sig"), "join-rows")
+    released(placed)
+    return rows
 
 
 def link_classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n, cls; labels: node, label) of docs(doc_id, text)."""
+    """(members: key, doc_id, n, cls; labels: node, label) of docs(key, doc_id, text)."""
     spark = docs.sparkSession
     with small_batches(spark):
-        scan = written(docs.mapInArrow(_scan(n), "kind int, doc_id long, n long, cls long, block int, data binary"), "join-scan")
-    members = scan.where("kind = 0").select("doc_id", "n", "cls")
+        scan = written(docs.mapInArrow(_scan(n), "kind int, key long, doc_id long, n long, cls long, block int, data binary"), "join-scan")
+    members = written(scan.where("kind = 0").select("key", "doc_id", "n", "cls"), "join-members")
     classes = written(scan.where("kind = 0 and data is not null").groupBy("cls").agg(F.min(F.struct("n", "data")).alias("x")).select("cls", F.col("x.n").cast("int").alias("n"), "x.data"), "join-classes")
     frequency = spark.sparkContext.broadcast(_frequency_classes(scan))
+    released(scan)
     postings = docs.mapInArrow(_postings(n, frequency), "sig long, salt int, cls long, n int").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "cls")
     with small_batches(spark, 4000):
         lists = written(postings.mapInArrow(_lists, "sig long, combined boolean, cls long, n int, center long, center_n int"), "join-lists")
@@ -313,45 +380,60 @@ def link_classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     side = lambda x: classes.toDF(x, f"n_{x}", f"map_{x}")
     bounded = lambda pairs: pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
     links = _check(docs, n, bounded(stars.union(crossed)))
-    labels = components(links)
-
-    placed = lists.select("sig", "cls", "n").join(labels.toDF("cls", "label"), "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("comp"))
-    placed = written(placed, "join-placed")
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("first"), F.count("*").alias("rows")).where("lo < hi").drop("lo", "hi")
-    mixed = written(mixed, "join-mixed")
-    rows = written(placed.join(mixed, "sig"), "join-rows")
-    short = rows.where(F.col("rows") <= LIST_ROWS).withColumn("family", F.lit(None).cast("long"))
-    far = None
-    if mixed.where(F.col("rows") > LIST_ROWS).limit(1).count():
-        far, families = _long_lists(rows.where(F.col("rows") > LIST_ROWS), mixed.where(F.col("rows") > LIST_ROWS), classes)
-        short = short.drop("family").join(families, "cls", "left")
-    other = short.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "comp", "family")])
-    untested = F.coalesce(F.col("family") != F.col("family_2"), F.lit(True))  # a family is tested as a whole
-    near = short.join(other, "sig").where("cls < cls_2 and comp <> comp_2").where(untested & fits("n", "n_2")).select(F.col("cls").alias("a"), F.col("cls_2").alias("b"))
-    found = bounded(near) if far is None else bounded(near).union(far)
-    more = _check(docs, n, found.distinct())
-    if not more.limit(1).count():
-        return members, labels
-    at = lambda x: labels.toDF(x, f"label_{x}")
-    merged = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
-    tops = components(merged)
-    moved = labels.join(tops.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    return members, moved.union(tops.join(labels.select("node"), "node", "left_anti"))
+    labels = written(components(links), "join-labels")
+    rows = _mixed(lists, labels)
+    released(lists)
+
+    long_ = rows.where(F.col("rows") > LIST_ROWS)
+    if long_.limit(1).count():
+        more = _long_lists(docs, n, long_)
+        if more.limit(1).count():
+            labels = _merged(labels, more)
+            again = _mixed(rows.where(F.col("rows") <= LIST_ROWS), labels)
+            released(rows)
+            rows = again
+    short = rows.where(F.col("rows") <= LIST_ROWS)
+    other = short.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "comp")])
+    near = short.join(other, "sig").where("cls < cls_2 and comp <> comp_2").where(fits("n", "n_2")).select(F.col("cls").alias("a"), F.col("cls_2").alias("b"))
+    more = _check(docs, n, bounded(near))
+    released(rows, classes)
+    return members, _merged(labels, more) if more.limit(1).count() else labels
+
+
+def _rooted(docs: DataFrame, n: int) -> DataFrame:
+    """(key, doc_id, n, root) of docs(key, doc_id, text); rows with links, direct or not, or with equal sets have the same root, rows without n-grams none."""
+    members, labels = link_classes(docs, n)
+    rooted = written(members.join(labels.toDF("cls", "label"), "cls", "left").select("key", "doc_id", "n", F.coalesce("label", "cls").alias("root")), "join-rooted")
+    released(members, labels)
+    return rooted
 
 
 def join(docs: DataFrame, n: int = 5) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that is reached by links)."""
-    members, labels = link_classes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n)
-    rooted = written(members.join(labels.toDF("cls", "label"), "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("root")), "join-rooted")
+    rooted = _rooted(docs.select(F.lit(0).cast("long").alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string")), n)
     roots = written(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-roots")
     return rooted.join(roots, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
-    """docs without the documents that link, directly or not, to one of a smaller doc_id; rows with repeated ids keep one, rows with a null id stay."""
-    found = written(join(docs, n), "join-kept")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    out = docs.join(kept, docs.doc_id == kept.kept_id)
-    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*[docs[c] for c in docs.columns]).union(docs.where("doc_id is null"))
+    """docs with one row of each group of rows that link, directly or not, or have equal sets: that of the smallest doc_id.
+
+    Each row is judged by itself: of a group's rows with one doc_id the one with the smallest hash stays, of equal rows one;
+    null ids come last. Rows without words stay. Rows are told by a 64-bit hash of id and text, and only the keys of the rows
+    that go are joined: broadcast up to BROADCAST_KEYS of them, by a shuffle beyond.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    rooted = _rooted(docs.select(key.alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string")), n)
+    groups = rooted.where("root is not null")
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("root", F.col("k.key").alias("kept"))
+    counted = written(groups.join(kept, "root").groupBy("key").agg(F.bool_or(F.col("key") == F.col("kept")).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "join-going")
+    released(rooted)
+    going = counted.select(F.col("key").alias("going"))
+    out = docs.join(unless_large(going, BROADCAST_KEYS), key == F.col("going"), "left_anti")
+    twice = counted.where("stays").select(F.col("key").alias("twice"))
+    if not twice.limit(1).count():
+        return out
+    # equal rows: one of each stays, the least by its other columns
+    equal = docs.join(unless_large(twice, BROADCAST_KEYS), key == F.col("twice"))
+    one = equal.groupBy("twice").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

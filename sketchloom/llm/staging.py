@@ -7,14 +7,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, the warehouse, or a temporary folder in local mode."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary folder in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        root = spark.conf.get("spark.sql.warehouse.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-stage-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -25,7 +26,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def released(*staged: DataFrame | None) -> None:
+    """Deletes tables that written() made, after their last reader."""
+    for df in staged:
+        if df is not None and (path := df.__dict__.pop("staged_path", None)):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unless_large(df: DataFrame, rows: int) -> DataFrame:
+    """A staged table, to be broadcast in a join if it has at most so many rows; else Spark chooses a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 @contextlib.contextmanager

@@ -103,9 +103,30 @@ def test_join(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
-def test_join_keeps_one_of_repeated_rows(spark):
-    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "q"), (2, None)], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r.doc_id) for r in ngram_join.keep_one(df).collect()) == [(False, 1), (False, 2), (True, None)]
+@pytest.mark.parametrize("list_rows, block_rows, block_grams", [(1, 16, 1 << 20), (4, 2048, 3000)])
+def test_join_in_blocks(spark, monkeypatch, list_rows, block_rows, block_grams):
+    """Long lists in many small blocks give the same components."""
+    for name, value in (("LIST_ROWS", list_rows), ("BLOCK_ROWS", block_rows), ("BLOCK_GRAMS", block_grams)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = join_cases(3)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()} == brute_components(texts)
+
+
+def test_join_keeps_one_row_of_each_group(spark):
+    rows = [(1, "a b c", 2), (1, "a b c", 1), (None, "q", 0), (None, "Q", 0), (2, None, 0), (3, "x y", 0), (3, "z", 0), (None, "x  y", 0), (4, "", 0), (4, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.other) for r in ngram_join.keep_one(df).collect())
+    q = next(t for is_null, _, t, _ in kept if is_null)
+    assert q in ("q", "Q") and kept == [(False, 1, "a b c", 1), (False, 2, "", 0), (False, 3, "x y", 0), (False, 3, "z", 0), (False, 4, "", 0), (False, 4, "", 0), (True, 0, q, 0)]
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_join_of_a_very_long_text(spark):
+    words = [f"w{i % 7919}x{i % 104729}" for i in range(150_000)]
+    other = [*words[:20_000], "cut", *words[22_000:]]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:60_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 @pytest.mark.parametrize("seed", range(4))
