@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
-from sketchloom.llm.staging import shared_root, written
+from sketchloom.llm.staging import released, shared_root, small_batches, written
 from sketchloom.llm.tokenids import SLICE_BYTES, encoder, vocabulary_path
 
 MAX_LENGTH = 18
@@ -128,66 +128,77 @@ def decode_segment(blob: bytes, table: tuple[np.ndarray, np.ndarray], mark: int)
     return first, doc_ids, counts, out.T.reshape(-1)[:n]
 
 
-def _tokenize(path: str, end_id: int):
-    schema = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
-
-    def run(batches):
-        from pyspark import TaskContext
+IDS = "doc_id long, n_ids long, ids binary, counts boolean"
 
-        part, segment, before = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def close():
-            nonlocal segment, before, held, size
-            doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held))
-            row = [part, segment, before, len(ids), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), ids.astype("<u2").tobytes()]
-            segment, before, held, size = segment + 1, before + len(ids), [], 0
-            return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, row)}, schema)
+def _tokenize(path: str, end_id: int):
+    """A row for each document with its ids, and at the end one with the counts of all ids of the partition, as pairs (id, count)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("counts", pa.bool_())])
 
-        coder = encoder(path)
+    def run(batches):
+        coder, total = encoder(path), np.zeros(65536, dtype=np.int64)
         for batch in batches:
             for piece in textscan.chunks(batch, "text", SLICE_BYTES):
                 ids, first = coder.encode(piece.column("text"))
-                doc_ids = piece.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
                 with_end = np.insert(ids, first[1:], end_id)
-                counts = np.diff(first) + 1
-                ends = np.cumsum(counts)
-                cuts = [0, *(np.flatnonzero(np.diff((ends + size) // SEGMENT_IDS)) + 1).tolist(), len(counts)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    if k and held:
-                        yield close()
-                    if b > a:
-                        held.append((doc_ids[a:b], counts[a:b], with_end[ends[a] - counts[a] : ends[b - 1]]))
-                        size += int(ends[b - 1] - ends[a] + counts[a])
-                if size >= SEGMENT_IDS:
-                    yield close()
-        if held:
-            yield close()
-
-    return run, "part int, segment long, before long, n_ids long, doc_ids binary, counts binary, ids binary"
-
-
-def _count(batches):
-    total = np.zeros(65536, dtype=np.int64)
+                total += np.bincount(with_end, minlength=65536)
+                ends = first + np.arange(len(first))
+                binary = pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer((2 * ends).astype(np.int64)), pa.py_buffer(with_end.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(ends)), binary.cast(pa.binary()), pa.array(np.zeros(piece.num_rows, bool))], schema=schema)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"doc_id": [None], "n_ids": [0], "ids": [np.stack([seen, total[seen]], axis=1).astype("<i8").tobytes()], "counts": [True]}, schema)
+
+    return run
+
+
+def _counted(batches):
+    for batch in batches:
+        for data in batch.column("ids"):
+            seen, n = np.frombuffer(data.as_buffer(), "<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
+def _segments(batches):
+    """Rows of documents in order, joined to segments of about SEGMENT_IDS ids; a longer document makes a segment of its own."""
+    from pyspark import TaskContext
+
+    schema = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
+    part, segment, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+
+    def close():
+        nonlocal segment, before, held, size
+        doc_ids, lengths, ids = zip(*held)
+        row = [part, segment, before, size, np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), b"".join(ids)]
+        segment, before, held, size = segment + 1, before + size, [], 0
+        return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, row)}, schema)
+
     for batch in batches:
-        for ids in batch.column("ids"):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=65536)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
+        for doc_id, n, ids in zip(batch.column("doc_id").fill_null(_NULL_ID).to_pylist(), batch.column("n_ids").to_pylist(), batch.column("ids").to_pylist()):
+            if held and size + n > SEGMENT_IDS:
+                yield close()
+            held.append((doc_id, n, ids))
+            size += n
+    if held:
+        yield close()
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 2) -> str:
-    """Encodes docs(doc_id, text) with end_id after each document and writes the file to `path`; a null text is empty, other columns are not read."""
+    """Encodes docs(doc_id, text) with end_id after each document and writes the file to `path`; a null text is empty, other columns are not read.
+
+    Texts are encoded where they lie; only their ids are sorted by doc_id (rows with one doc_id by their ids).
+    """
     spark = docs.sparkSession
-    run, schema = _tokenize(tokenizer_path or vocabulary_path(), end_id)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw = written(ordered.mapInArrow(run, schema), "token-ids")
+    with small_batches(spark):
+        coded = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenize(tokenizer_path or vocabulary_path(), end_id), IDS), "token-documents")
     counts = np.zeros(65536, dtype=np.int64)
-    for id_, n in raw.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # one row per id of the vocabulary
+    for id_, n in coded.where("counts").select("ids").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # one row per id of the vocabulary
         counts[id_] = n
     lengths = code_lengths(counts)
     mark = zlib.crc32(lengths.tobytes())
+    ordered = coded.where("not counts").select("doc_id", "n_ids", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    with small_batches(spark):
+        raw = written(ordered.mapInArrow(_segments, "part int, segment long, before long, n_ids long, doc_ids binary, lengths binary, ids binary"), "token-ids")
+    released(coded)
     totals = raw.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row per partition of the job
     starts, reach = {}, 0
     for part, n in totals:
@@ -197,10 +208,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str | None = No
         codes = canonical_codes(lengths)
         for batch in batches:
             for r in batch.to_pylist():
-                blob = encode_segment(starts[r["part"]] + r["before"], np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["counts"], "<u4"), np.frombuffer(r["ids"], "<u2"), lengths, codes, mark)
+                blob = encode_segment(starts[r["part"]] + r["before"], np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["lengths"], "<u4"), np.frombuffer(r["ids"], "<u2"), lengths, codes, mark)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([r["part"]], pa.int32()), "segment": pa.array([r["segment"]], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
-    raw.mapInArrow(encode, "part int, segment long, blob binary").write.option("compression", "none").parquet(f"{path}/segments")
+    with small_batches(spark, 8):
+        raw.mapInArrow(encode, "part int, segment long, blob binary").write.option("compression", "none").parquet(f"{path}/segments")
+    released(raw)
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     return path
 

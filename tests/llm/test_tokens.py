@@ -10,16 +10,14 @@ import pytest
 
 from sketchloom.llm import packing, textscan, token_file, tokenids
 
-ODD = ["", "  ", "a  b", "\n\na \n b c ", "x  y  z", "é à la 　 b", "don't  't", None, " lead b c", "tail ", "a\x1f b\x1f c", "«a» «b» c   d\te", "<|endoftext|> a", "a 'll b 's", "x" * 5000, "日本 語 です ", "word " * 3000]
+ODD = ["", "  ", "a  b", "\n\na \n b c ", "x  y  z", "é à la 　 b", "don't  't", None, " lead b c", "tail ", "a\x1f b\x1f c", "«a» «b» c   d\te", "<|endoftext|> a", "a <|endoftext|> b<|endoftext|>", "<|endoftext|", "|> c", "a 'll b 's", "x" * 5000, "日本 語 です ", "word " * 3000]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenids.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenids.vocabulary_path())
 
 
 def ids_of(tokenizer, text):
@@ -37,6 +35,16 @@ def test_stretches_join(tokenizer):
         assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [ids_of(tokenizer, t) for t in texts]
 
 
+def test_stretches_beyond_the_cache(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokenids, "CACHE_STRETCHES", 200)
+    coder, rnd = tokenids.IdEncoder(tokenids.vocabulary_path()), random.Random(2)
+    for _ in range(30):
+        texts = [" ".join(f"w{int(rnd.paretovariate(0.5)) % 5000}" for _ in range(60)) for _ in range(3)]
+        ids, first = coder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [ids_of(tokenizer, t) for t in texts]
+        assert len(coder.old.known) <= 200
+
+
 @pytest.mark.parametrize("used", [0, 1, 2, 3, 300])
 def test_code(used):
     rnd = np.random.default_rng(used)
