@@ -12,41 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sketchloom.llm import decontamination, language_id, ngram_join, packing, secret_scan
-from sketchloom.llm.staging import table, written
-
-
-TEXT_ROWS = 1000
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Every stage hands whole texts to Python: Arrow batches of at most TEXT_ROWS rows keep both sides' buffers small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+from sketchloom.llm.staging import released, small_batches, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return ngram_join.keep_one(docs, n=5)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return secret_scan.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return packing.pack(docs, size=2048, end_id=1)
 
 
@@ -63,6 +48,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with small_batches(spark):  # every stage hands whole texts to Python
+        for name, stage in STAGES[:-1]:
+            out = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            released(docs)
+            docs = out
+        return STAGES[-1][1](spark, docs, sf_dir)
