@@ -1,20 +1,24 @@
 """A hidden Markov language model over the words of a corpus.
 
-Tokens are lower-cased words and one end a document, by 64-bit hash. Counts of all training tokens form a table. The
-OWN words that are counted most are symbols of the model; the other words share TAIL symbols by their hash, and a tail
-symbol gives each of its words its share of the counts, half a count more for each word and for one unknown word, so that
-probabilities add up to 1. States have a start, a transition and an emission distribution over symbols.
-
-Training: in each of ROUNDS rounds every partition runs Baum-Welch's expectation over the whole of its training
-documents and its expected counts are added up across partitions in blocks of symbols. Documents are cut into chunks only
-to compute in step: products of transition and emission matrices carry the forward and backward messages over chunk
-bounds, so expectations and likelihoods are those of whole documents. Likelihoods are scaled forward recursions.
-
-The driver sees the symbols' counts, the emission tables (states x symbols) and at most LOOKUP word counts, all of fixed
-size. Word counts at large stay in tables; words that are not among the LOOKUP most counted are joined to them.
+Tokens are lower-cased words and one end a document, by 64-bit hash. The `own` words that are counted most are symbols of
+the model; the others share `tail` symbols by their hash, and within a tail symbol every word has a distribution of its own
+in each state. Start, transition and symbol emissions are sent to tasks; what is kept of single words (counts of all words,
+expected counts by state of all tail words) is a table that grows with the corpus and is joined to the words of each
+partition.
+
+Training: in each of `rounds` rounds every partition runs Baum-Welch's expectation over the whole of its training documents
+and its expected counts are added up across partitions in blocks of symbols; the last round also adds up those of tail words.
+An emission in a state is its expected count, half a count for each word and for an unknown one in proportion to the state's
+share of all tokens, and PRIOR tokens like the whole corpus. A tail word's share of its symbol in a state goes by its count
+plus a half, times its share of expected counts in the state, drawn towards the symbol's by DRAW tokens; so probabilities of
+known words and one unknown word a symbol add up to 1. Documents are cut into chunks only to compute in step: products of
+transition and emission matrices carry the forward and backward messages over chunk bounds, so expectations and likelihoods
+are those of whole documents. Likelihoods are scaled forward recursions.
+
+There is a tail symbol for TAIL_WORDS words, up to TAIL. The driver sees symbols' counts and expected counts (states x symbols) and the `own` most counted words, all of fixed size.
 
 A null or empty text is one end. Without training documents nothing is known. Repeated rows are scored one by one, null
-doc_ids count as empty ones in the split, and extra columns are not read.
+doc_ids count as empty ones in the split, very long texts are scored whole, and extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,19 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
-from sketchloom.llm.staging import written
+from sketchloom.llm.staging import released, small_batches, written
 
 STATES = 4
 ROUNDS = 4
 OWN = 49_152
-TAIL = 4_096
-LOOKUP = 1 << 19
+TAIL = 4_096  # a power of two, as all numbers of tail symbols
+TAIL_WORDS = 16  # words that a tail symbol has, until there are TAIL symbols
 CHUNK = 96
 BATCH_TOKENS = 1 << 19
 BLOCK = 4_096
-SYMBOLS = OWN + TAIL
 END = np.uint64(0x5EED0E4D0C0DE001)
-PRIOR = 20.0  # tokens like the whole corpus that every state's emissions are smoothed by
+PRIOR = 20.0
+DRAW = 2.0
+HELD_WORDS = 1_000_000
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,59 +81,67 @@ def _count_words(batches):
 
 
 class Words:
-    """The most counted words, sorted by hash: counts, and symbols for those that have their own."""
+    """The words with symbols of their own, sorted by hash: symbols and counts."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
+    def __init__(self, words: np.ndarray, counts: np.ndarray, own: int, tail: int):
+        order, rank = np.argsort(words), np.lexsort((words, -counts))
+        self.own, self.tail = own, tail
         self.words, self.counts = words[order], counts[order]
-        rank = np.lexsort((self.words, -self.counts))[:OWN]
-        self.symbol = np.full(len(words), -1, dtype=np.int32)
-        self.symbol[rank] = np.arange(len(rank))
-        self.symbol_counts = np.zeros(OWN, dtype=np.int64)
-        self.symbol_counts[: len(rank)] = self.counts[rank]
+        symbol = np.zeros(len(words), dtype=np.int64)
+        symbol[rank] = np.arange(len(rank))
+        self.symbol = symbol[order].astype(np.uint16)
+        self.symbol_counts = np.zeros(own, dtype=np.int64)
+        self.symbol_counts[: len(rank)] = counts[rank]
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count, 0 if not here; symbol; whether the symbol is the word's own) of every token."""
-        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        here = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), dtype=bool)
-        count = np.where(here, self.counts[at], 0) if len(self.words) else np.zeros(len(hashes), np.int64)
-        own = here & (self.symbol[at] >= 0) if len(self.words) else here
-        tail = OWN + (hashes & np.uint64(TAIL - 1)).astype(np.int32)
-        return count, np.where(own, self.symbol[at], tail) if len(self.words) else tail, own
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, 0 for tail words; symbol) of every token."""
+        tail = (self.own + (hashes & np.uint64(self.tail - 1)).astype(np.int64)).astype(np.uint16)
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64), tail
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        here = self.words[at] == hashes
+        return np.where(here, self.counts[at], 0), np.where(here, self.symbol[at], tail)
 
 
-def _encode(words, tail_log: np.ndarray):
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log", pa.float64()), ("within", pa.float64()), ("symbols", pa.binary()), ("rest", pa.binary())])
+def _encode(words):
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("known", pa.int64()), ("log", pa.float64()), ("symbols", pa.binary()), ("rest", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        uid, table = TaskContext.get().partitionId() << 36, words.value
+        part, table = TaskContext.get().partitionId(), words.value
         for batch in batches:
             for piece in textscan.chunks(batch, "text"):
                 hashes, first = tokens(piece.column("text"))
-                count, symbol, own = table.find(hashes)
-                log = np.where(count > 0, np.log10(np.maximum(count, 1) + 0.5), 0.0)
-                within = np.where(own, 0.0, -tail_log[np.maximum(symbol - OWN, 0)]) + np.where(own, 0.0, log)
-                rest = count == 0
+                count, symbol = table.find(hashes)
+                tail = symbol >= table.own
                 total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
                 cut = lambda x, at: [memoryview(x).cast("B")[a * x.itemsize : b * x.itemsize] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                left = np.concatenate([[0], np.cumsum(rest)])[first]
-                n = piece.num_rows
-                columns = [np.arange(uid, uid + n), piece.column("doc_id"), piece.column("held_out"), np.diff(first), total(count > 0), total(log), total(within), cut(symbol.astype("<u2"), first), cut(np.ascontiguousarray(hashes[rest]), left)]
-                uid += n
+                left = np.concatenate([[0], np.cumsum(tail)])[first]
+                log = np.where(tail, 0.0, np.log10(count + 0.5))
+                columns = [np.full(piece.num_rows, part), piece.column("doc_id"), piece.column("held_out"), total(~tail), total(log), cut(symbol.astype("<u2"), first), cut(np.ascontiguousarray(hashes[tail]), left)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return run
+    return run, "part int, doc_id long, held_out boolean, known long, log double, symbols binary, rest binary"
+
 
+def _tail_words(batches):
+    """(part, word): the tail words of each partition."""
+    part, held = None, np.zeros(0, np.uint64)
+
+    def rows():
+        return pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(held), -1 if part is None else part, np.int32)), "word": pa.array(held.view(np.int64))})
 
-def _rest(batches):
-    """(uid, word, n) of the words that the lookup doesn't have."""
     for batch in batches:
-        for uid, raw in zip(batch.column("uid").to_pylist(), batch.column("rest").to_pylist()):
-            if raw:
-                words, n = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"uid": pa.array(np.full(len(words), uid)), "word": pa.array(words.view(np.int64)), "n": pa.array(n)})
+        for p, raw in zip(batch.column("part").to_pylist(), batch.column("rest").to_pylist()):
+            if p != part or len(held) > HELD_WORDS:
+                held = np.unique(held)
+                if p != part or len(held) > HELD_WORDS // 2:
+                    yield rows()
+                    part, held = p, held[:0]
+            held = np.concatenate([held, np.unique(np.frombuffer(raw, "<u8"))]) if raw else held
+    held = np.unique(held)
+    yield rows()
 
 
 class Chunks:
@@ -231,53 +244,103 @@ class Chunks:
             total["step"] += step * (weighted.T @ w)
             emitted[t, :n] = gamma
             b[:n] = pulled / pulled.sum(axis=1, keepdims=True)
-        for t in range(CHUNK):
-            n = self.active[t]
-            if not n:
-                break
-            for k in range(h):
-                total["held"][k].append(emitted[t, :n, k])
-            total["seen"].append(self.symbols[self.start[:n] + t])
-        seen = np.concatenate(total["seen"])
+        places = [np.arange(self.active[t]) for t in range(CHUNK) if self.active[t]]
+        seen = np.concatenate([self.symbols[self.start[p] + t] for t, p in enumerate(places)]) if places else np.zeros(0, np.int64)
         for k in range(h):
-            total["emit"][k] += np.bincount(seen, np.concatenate(total["held"][k]), SYMBOLS)
-        total["seen"], total["held"] = [], [[] for _ in range(h)]
+            held = np.concatenate([emitted[t, : len(p), k] for t, p in enumerate(places)]) if places else np.zeros(0)
+            total["emit"][k] += np.bincount(seen, held, len(emit))
         total["log"] += likelihood.sum()
 
 
+def counters(states: int, symbols: int) -> dict:
+    return {"start": np.zeros(states), "step": np.zeros((states, states)), "emit": np.zeros((states, symbols)), "log": 0.0}
+
+
 def _batches_of(batches, columns=()):
-    """Batches of documents as (rows, Chunks) of about BATCH_TOKENS symbols."""
-    rows, raw, size = [], [], 0
+    """Documents in batches of about BATCH_TOKENS symbols: (values of columns, symbols, first symbol of each, tail words in order)."""
+    rows, raw, rest, size = [], [], [], 0
+
+    def out():
+        return rows, np.frombuffer(b"".join(raw), "<u2"), np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])]), np.frombuffer(b"".join(rest), "<u8")
+
     for batch in batches:
         extra = [batch.column(c).to_pylist() for c in columns]
-        for i, data in enumerate(batch.column("symbols").to_pylist()):
+        for i, (data, words) in enumerate(zip(batch.column("symbols").to_pylist(), batch.column("rest").to_pylist())):
             rows.append(tuple(c[i] for c in extra))
             raw.append(data)
+            rest.append(words)
             size += len(data) // 2
             if size >= BATCH_TOKENS:
-                yield rows, _chunks(raw)
-                rows, raw, size = [], [], 0
+                yield out()
+                rows, raw, rest, size = [], [], [], 0
     if raw:
-        yield rows, _chunks(raw)
+        yield out()
+
+
+def _apart(symbols: np.ndarray, rest: np.ndarray, own: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with a number from size on for every tail word, those words)."""
+    words, which = np.unique(rest, return_inverse=True)
+    out = symbols.astype(np.int64)
+    out[symbols >= own] = size + which
+    return out, words
+
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, values = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(words, kind="stable")
+    words, values = words[order], values[order]
+    first = np.flatnonzero(np.diff(words, prepend=words[:1] - np.uint64(1)))
+    return words[first], np.add.reduceat(values, first) if len(first) else values
 
-def _chunks(raw: list[bytes]) -> Chunks:
-    return Chunks(np.frombuffer(b"".join(raw), "<u2"), np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])]))
 
+def _expectation(model, own: int, with_words: bool):
+    """Rows (block, data): -1 the starts, transitions and likelihood, from 0 on emissions of blocks of symbols, -2 tail words and their expected counts."""
 
-def _expectation(model):
     def run(batches):
         start, step, emit = model.value
-        h = len(step)
-        total = {"start": np.zeros(h), "step": np.zeros((h, h)), "emit": np.zeros((h, SYMBOLS)), "seen": [], "held": [[] for _ in range(h)], "log": 0.0}
-        for _, chunks in _batches_of(batches):
-            chunks.expect(start, step, emit, total)
-        head = np.concatenate([total["start"], total["step"].reshape(-1), [total["log"]]])
-        yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "data": pa.array([head.astype("<f8").tobytes()], pa.binary())})
-        for k in range(0, SYMBOLS, BLOCK):
+        total, held, size = counters(len(step), len(emit)), [], 0
+        row = lambda block, data: pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([data], pa.binary())})
+        packed = lambda words, values: words.astype("<u8").tobytes() + values.astype("<f8").tobytes()
+        for _, symbols, first, rest in _batches_of(batches):
+            if not with_words:
+                Chunks(symbols, first).expect(start, step, emit, total)
+                continue
+            symbols, words = _apart(symbols, rest, own, len(emit))
+            classes = own + (words & np.uint64(len(emit) - own - 1)).astype(np.int64)
+            part = counters(len(step), len(emit) + len(words))
+            Chunks(symbols, first).expect(start, step, np.concatenate([emit, emit[classes]]), part)
+            found = part["emit"][:, len(emit) :].T
+            part["emit"] = part["emit"][:, : len(emit)]
+            np.add.at(part["emit"].T, classes, found)
+            for k in total:
+                total[k] = total[k] + part[k]
+            if len(words):
+                held.append((words, found))
+                size += len(words)
+            if size > HELD_WORDS:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > HELD_WORDS // 2:
+                    yield row(-2, packed(*held[0]))
+                    held, size = [], 0
+        if held:
+            yield row(-2, packed(*_summed(held)))
+        yield row(-1, np.concatenate([total["start"], total["step"].reshape(-1), [total["log"]]]).astype("<f8").tobytes())
+        for k in range(0, len(emit), BLOCK):
             part = total["emit"][:, k : k + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "data": pa.array([part.astype("<f8").tobytes()], pa.binary())})
+                yield row(k // BLOCK, part.astype("<f8").tobytes())
+
+    return run
+
+
+def _word_rows(states: int):
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                n = len(data) // (8 + 8 * states)
+                words, values = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<f8", n * states, 8 * n).reshape(n, states)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(words)} | {f"g{k}": pa.array(np.ascontiguousarray(values[:, k])) for k in range(states)})
 
     return run
 
@@ -300,13 +363,17 @@ def first_model(unigram: np.ndarray, states: int = STATES, seed: int = 7) -> tup
     return np.full(states, 1 / states), step, np.ascontiguousarray((emit / emit.sum(axis=1, keepdims=True)).T)
 
 
-def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, step, emit by symbol) from encoded(symbols) by Baum-Welch."""
+def train(encoded: DataFrame, unigram: np.ndarray, halves: np.ndarray, own: int, states: int = STATES, rounds: int = ROUNDS) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, DataFrame]:
+    """((start, step, emit by symbol), expected counts by state and symbol, expected counts of tail words) from encoded(symbols, rest) by Baum-Welch."""
     context, model = encoded.sparkSession.sparkContext, first_model(unigram, states)
-    for _ in range(rounds):
+    for turn in range(rounds):
         sent = context.broadcast(model)
-        counts = encoded.select("symbols").mapInArrow(_expectation(sent), "block int, data binary").repartition("block").mapInArrow(_add, "block int, data binary").collect()  # a row a block
-        emit = np.zeros((states, SYMBOLS))
+        expected = encoded.select("symbols", "rest").mapInArrow(_expectation(sent, own, turn == rounds - 1), "block int, data binary")
+        if turn == rounds - 1:
+            with small_batches(encoded.sparkSession, 8):
+                expected = written(expected, "lm-expected")
+        counts = expected.where("block >= -1").repartition("block").mapInArrow(_add, "block int, data binary").collect()  # a row a block
+        emit = np.zeros((states, len(unigram)))
         head = np.zeros(states + states**2 + 1)
         for b, data in counts:
             if b < 0:
@@ -316,57 +383,119 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
                 emit[:, b * BLOCK : b * BLOCK + part.shape[1]] = part
         start = head[:states] + 1
         step = head[states : states + states**2].reshape(states, states) + np.eye(states) + 0.1
-        emit = emit + PRIOR * unigram
-        model = start / start.sum(), step / step.sum(axis=1, keepdims=True), np.ascontiguousarray((emit / emit.sum(axis=1, keepdims=True)).T)
+        share = emit.sum(axis=1, keepdims=True) / emit.sum() if emit.any() else np.full((states, 1), 1 / states)
+        smooth = emit + share * halves + PRIOR * unigram
+        model = start / start.sum(), step / step.sum(axis=1, keepdims=True), np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T)
         sent.unpersist()
-    return model
+    words = expected.where("block = -2").select("data").mapInArrow(_word_rows(states), "word long, " + ", ".join(f"g{k} double" for k in range(states)))
+    return model, emit, words
+
 
+def _score(model, own: int, norm: float):
+    """Rows come sorted by (part, kind): a partition's tail words with their parts of their symbols, then its documents."""
+    columns = ("doc_id", "held_out", "known", "log")
 
-def _score(model):
     def run(batches):
-        start, step, emit = model.value
-        for rows, chunks in _batches_of(batches, ("uid",)):
-            likelihood, _ = chunks.forward(start, *chunks.products(step, emit))
-            yield pa.RecordBatch.from_pydict({"uid": pa.array([r[0] for r in rows], pa.int64()), "hmm": pa.array(likelihood / np.log(10))})
+        start, step, emit, unknown = model.value
+        states, part, words, values, parts = len(step), None, None, None, []
+
+        def scored(batch):
+            nonlocal words, values
+            if words is None:
+                table = pa.Table.from_batches(parts) if parts else batch.slice(0, 0)
+                words = table.column("word").to_numpy().view(np.uint64) if parts else np.zeros(0, np.uint64)
+                values = np.stack([table.column(x).to_numpy() for x in ("c", *(f"g{k}" for k in range(states)))], axis=1) if parts else np.zeros((0, states + 1))
+                order = np.argsort(words)
+                words, values = words[order], values[order]
+            for rows, symbols, first, rest in _batches_of([batch], columns):
+                numbers, mine = _apart(symbols, rest, own, len(emit))
+                at = np.minimum(np.searchsorted(words, mine), max(len(words) - 1, 0))
+                known = words[at] == mine if len(words) else np.zeros(len(mine), dtype=bool)
+                classes = (mine & np.uint64(len(unknown) - 1)).astype(np.int64)
+                share, count = unknown[classes], np.zeros(len(mine))
+                share[known], count[known] = values[at[known], 1:], values[at[known], 0]
+                chunks = Chunks(numbers, first)
+                likelihood, _ = chunks.forward(start, *chunks.products(step, np.concatenate([emit, emit[own + classes] * share])))
+                tail = np.concatenate([np.zeros(len(emit)), np.log10(count + 0.5)])
+                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
+                doc_id, held_out, n_known, log = zip(*rows)
+                n = np.diff(first)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array(doc_id, pa.int64()), "held_out": pa.array(held_out, pa.bool_()), "n_tokens": pa.array(n),
+                        "n_known": pa.array(np.array(n_known) + total(np.concatenate([np.zeros(len(emit), np.int64), known.astype(np.int64)])[numbers])),
+                        "base_score": pa.array(np.array(log) + total(tail[numbers]) - n * norm), "score": pa.array(likelihood / np.log(10)),
+                    }
+                )
+
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("part", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if key[a, 0] != part:
+                    part, words, parts = key[a, 0], None, []
+                if key[a, 1] == 0:
+                    parts.append(batch.slice(a, b - a).select(["word", "c", *(f"g{k}" for k in range(states))]))
+                else:
+                    yield from scored(batch.slice(a, b - a))
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int = OWN, tail: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    context = spark.sparkContext
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out)
     counts = written(rows.where("not held_out").select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, kept = 1, 0
-    sizes = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).count().collect()  # at most a million rows, in fact about the root of the corpus
-    for c, k in sorted(sizes, reverse=True):
-        if kept + k > LOOKUP:
-            least = c + 1
-            break
-        kept += k
-    top = counts.where(F.col("c") >= least).limit(LOOKUP).toArrow()  # the limit only holds where more words than that have a million counts
-    words = Words(top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy())
-    own = words.words[words.symbol >= 0]
+    tail = tail or min(TAIL, 1 << max(4, (max(v - own, 1) // TAIL_WORDS).bit_length()))
+    top = counts.orderBy(F.desc("c"), "word").limit(own).toArrow()  # the words with symbols of their own; all others are joined
+    words = Words(top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy(), own, tail)
     # tail words by symbol: all words less those with symbols of their own
-    shares = np.zeros(TAIL)
-    for b, c, k in counts.groupBy(F.col("word").bitwiseAND(TAIL - 1).alias("b")).agg(F.sum("c"), F.count("*")).collect():  # TAIL rows
-        shares[b] = c + 0.5 * k
-    np.subtract.at(shares, (own & np.uint64(TAIL - 1)).astype(np.int64), words.counts[words.symbol >= 0] + 0.5)
-    tail_counts = np.maximum(shares, 0)
-    unigram = np.concatenate([words.symbol_counts.astype(np.float64), tail_counts]) + 0.5
-    sent = context.broadcast(words)
-    encoded = written(rows.mapInArrow(_encode(sent, np.log10(tail_counts + 0.5)), "uid long, doc_id long, held_out boolean, n_tokens long, known long, log double, within double, symbols binary, rest binary"), "lm-encoded")
-    model = context.broadcast(train(encoded.where("not held_out"), unigram / unigram.sum()))
-    likelihood = written(encoded.select("uid", "symbols").mapInArrow(_score(model), "uid long, hmm double"), "lm-likelihoods")
-    rest = encoded.select("uid", "rest").mapInArrow(_rest, "uid long, word long, n long").join(counts.where(F.col("c") < least), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    rest = rest.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rest_known"), F.sum(F.col("n") * F.log10(c + 0.5)).alias("rest_log"))
-    out = encoded.drop("symbols", "rest").join(likelihood, "uid").join(rest, "uid", "left")
-    rest_log, rest_known = F.coalesce("rest_log", F.lit(0.0)), F.coalesce("rest_known", F.lit(0))
+    held, kinds = np.zeros(tail), np.zeros(tail)
+    for b, c, k in counts.groupBy(F.col("word").bitwiseAND(tail - 1).alias("b")).agg(F.sum("c"), F.count("*")).collect():  # one row a tail symbol
+        held[b], kinds[b] = c, k
+    place = (words.words & np.uint64(tail - 1)).astype(np.int64)
+    np.subtract.at(held, place, words.counts)
+    np.subtract.at(kinds, place, 1)
+    halves = 0.5 * np.concatenate([words.symbol_counts > 0, kinds + 1])
+    unigram = np.concatenate([words.symbol_counts, held]) + halves
+    encode, shape = _encode(context.broadcast(words))
+    with small_batches(spark):
+        encoded = written(rows.mapInArrow(encode, shape), "lm-encoded")
+    model, emit, expected = train(encoded.where("not held_out"), unigram / unigram.sum(), halves, own, states, rounds)
+
+    # a tail word's part of its symbol: (c + 1/2) (g + DRAW q) / (c + DRAW) over its sum, q the symbol's parts of the states
+    g = [f"g{k}" for k in range(states)]
+    expected = expected.groupBy("word").agg(*[F.sum(x).alias(x) for x in g])
+    symbol = F.col("word").bitwiseAND(tail - 1)
+    part = emit[:, own:].T
+    parts = np.where(part.sum(axis=1, keepdims=True) > 0, part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300), 1 / states)
+    shares = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(parts)], "symbol long, " + ", ".join(f"q{k} double" for k in range(states)))
+    weight = lambda k: (F.col("c") + 0.5) * (F.col(f"g{k}") + DRAW * F.col(f"q{k}")) / (F.col("c") + DRAW)
+    weighed = counts.join(expected, "word").join(F.broadcast(shares), symbol == F.col("symbol"))  # one row a tail symbol
+    weighed = written(weighed.select("word", "symbol", F.col("c").cast("double").alias("c"), *[weight(k).alias(f"g{k}") for k in range(states)]), "lm-words")
+    sums = np.zeros((tail, states))
+    for b, *x in weighed.groupBy("symbol").agg(*[F.sum(x) for x in g]).collect():  # one row a tail symbol
+        sums[b] = x
+    sums += 0.5 * parts
+    whole = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(sums)], "symbol long, " + ", ".join(f"s{k} double" for k in range(states)))
+    known = weighed.join(F.broadcast(whole), "symbol").select("word", "c", *[(F.col(f"g{k}") / F.col(f"s{k}")).alias(f"g{k}") for k in range(states)])
+
+    found = encoded.select("part", "rest").mapInArrow(_tail_words, "part int, word long").distinct().join(known, "word")
+    nothing = lambda *names: [F.lit(None).cast(t).alias(x) for x, t in names]
+    texts = [("doc_id", "long"), ("held_out", "boolean"), ("known", "long"), ("log", "double"), ("symbols", "binary"), ("rest", "binary")]
+    numbers = [("word", "long"), ("c", "double"), *[(x, "double") for x in g]]
+    both = found.select("part", F.lit(0).alias("kind"), *[x for x, _ in numbers], *nothing(*texts))
+    both = both.unionByName(encoded.select("part", F.lit(1).alias("kind"), *nothing(*numbers), *[x for x, _ in texts]))
+    model = context.broadcast((*model, 0.5 * parts / sums))
     norm = float(np.log10(n + 0.5 * (v + 1)))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + rest_known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log") + rest_log - F.col("n_tokens") * norm).alias("base_score"), (F.col("hmm") + F.col("within") + rest_log).alias("score"),
-    )
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    with small_batches(spark, 4000):
+        out = written(both.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_score(model, own, norm), shape), "lm-scores")
+    released(counts, encoded, weighed)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

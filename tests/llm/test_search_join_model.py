@@ -179,12 +179,10 @@ def test_model_probabilities(spark):
     h = 3
     start, step = rnd.dirichlet(np.ones(h)), rnd.dirichlet(np.ones(h), h)
     emit = np.ascontiguousarray(rnd.dirichlet(np.ones(6), h).T)
-    wide = np.zeros((hidden_markov.SYMBOLS, h))
-    wide[:6] = emit
     chunks = hidden_markov.Chunks(symbols, first)
-    found, _ = chunks.forward(start, *chunks.products(step, wide))
-    total = {"start": np.zeros(h), "step": np.zeros((h, h)), "emit": np.zeros((h, hidden_markov.SYMBOLS)), "seen": [], "held": [[] for _ in range(h)], "log": 0.0}
-    chunks.expect(start, step, wide, total)
+    found, _ = chunks.forward(start, *chunks.products(step, emit))
+    total = hidden_markov.counters(h, 6)
+    chunks.expect(start, step, emit, total)
     starts, steps, emits = np.zeros(h), np.zeros((h, h)), np.zeros((h, 6))
     for d, (a, b) in enumerate(zip(first, first[1:])):
         e = emit[symbols[a:b]]
@@ -203,7 +201,7 @@ def test_model_probabilities(spark):
             emits[:, symbols[a + t]] += gamma[t]
             if t:
                 steps += np.outer(alpha[t - 1], e[t] * beta[t]) * step / scale[t]
-    assert np.allclose(total["start"], starts) and np.allclose(total["step"], steps) and np.allclose(total["emit"][:, :6], emits)
+    assert np.allclose(total["start"], starts) and np.allclose(total["step"], steps) and np.allclose(total["emit"], emits)
 
 
 def test_scores(spark):
@@ -227,12 +225,80 @@ def test_scores(spark):
     assert alone.n_tokens == 3
 
 
-def test_probabilities_add_up():
-    """Symbols' shares of their words and of an unknown one."""
-    words = hidden_markov.Words(np.array([5, 9, 70000], np.uint64), np.array([3, 1, 2]))
-    count, symbol, own = words.find(np.array([5, 9, 70000, 6], np.uint64))
-    assert count.tolist() == [3, 1, 2, 0] and own.tolist() == [True, True, True, False] and symbol[3] == hidden_markov.OWN + 6 and len(set(symbol[:3].tolist())) == 3
-    assert hidden_markov.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64)).find(np.array([1], np.uint64))[0].tolist() == [0]
+def plain_scores(texts, held_out, states, rounds, own, tail):
+    """The whole model by plain loops over tokens."""
+    import pyarrow as pa
+
+    docs = []
+    for t in texts:
+        hashes, _ = hidden_markov.tokens(pa.array([t], pa.string()))
+        docs.append(hashes.tolist())
+    counts = collections.Counter(w for d, out in zip(docs, held_out) if not out for w in d)
+    signed = lambda w: w - 2**64 if w >= 2**63 else w
+    ranked = sorted(counts, key=lambda w: (-counts[w], signed(w)))[:own]
+    symbol = {w: k for k, w in enumerate(sorted(ranked, key=lambda w: (-counts[w], w)))}
+    of = lambda w: symbol.get(w, own + w % tail)
+    halves, unigram = np.full(own + tail, 0.5), np.zeros(own + tail)
+    halves[len(symbol) : own] = 0
+    for w, c in counts.items():
+        unigram[of(w)] += c
+        halves[of(w)] += 0.5 * (w not in symbol)
+    unigram = (unigram + halves) / (unigram + halves).sum()
+    start, step, emit = hidden_markov.first_model(unigram, states)
+
+    def passes(d, emission):
+        e = np.array([emission(w) for w in d])
+        alpha, scale = np.zeros((len(d), states)), np.zeros(len(d))
+        for t in range(len(d)):
+            alpha[t] = (start if t == 0 else alpha[t - 1] @ step) * e[t]
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+        beta = np.ones((len(d), states))
+        for t in range(len(d) - 2, -1, -1):
+            beta[t] = step @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
+        return e, alpha, beta, scale
+
+    for _ in range(rounds):
+        starts, steps, emits, words = np.zeros(states), np.zeros((states, states)), np.zeros((own + tail, states)), collections.defaultdict(lambda: np.zeros(states))
+        for d, out in zip(docs, held_out):
+            if out:
+                continue
+            e, alpha, beta, scale = passes(d, lambda w: emit[of(w)])
+            starts += alpha[0] * beta[0]
+            for t, w in enumerate(d):
+                emits[of(w)] += alpha[t] * beta[t]
+                words[w] += alpha[t] * beta[t]
+                if t:
+                    steps += np.outer(alpha[t - 1], e[t] * beta[t]) * step / scale[t]
+        start, step = (starts + 1) / (starts + 1).sum(), steps + np.eye(states) + 0.1
+        step = step / step.sum(axis=1, keepdims=True)
+        emit = emits + np.outer(halves, emits.sum(axis=0) / emits.sum()) + hidden_markov.PRIOR * unigram[:, None]
+        emit = emit / emit.sum(axis=0)
+    q = np.array([x / x.sum() if x.sum() else np.full(states, 1 / states) for x in emits])
+    weight = {w: (c + 0.5) * (words[w] + hidden_markov.DRAW * q[of(w)]) / (c + hidden_markov.DRAW) for w, c in counts.items() if w not in symbol}
+    sums = 0.5 * q
+    for w, x in weight.items():
+        sums[of(w)] += x
+    assert np.allclose(emit.sum(axis=0), 1)
+    parts = lambda w: 1.0 if w in symbol else weight.get(w, 0.5 * q[of(w)]) / sums[of(w)]
+    return [np.log10(passes(d, lambda w: emit[of(w)] * parts(w))[3]).sum() for d in docs]
+
+
+def test_scores_against_plain_loops(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"{'xy'[i % 2]}{int(rnd.paretovariate(0.8)) % 200}" for _ in range(rnd.randint(0, 40))) for i in range(60)] + ["Never seen", "", None, "x1 " * 250]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = sorted(hidden_markov.score(df, states=3, rounds=3, own=20, tail=8).collect())
+    expected = plain_scores(texts, [r.held_out for r in found], 3, 3, 20, 8)
+    assert np.allclose([r.score for r in found], expected, rtol=1e-6)
+    few = sorted(hidden_markov.score(df.limit(9), states=2, rounds=2, own=400, tail=4).collect())
+    assert np.allclose([r.score for r in few], plain_scores([texts[r.doc_id] for r in few], [r.held_out for r in few], 2, 2, 400, 4), rtol=1e-6)
+
+
+def test_scores_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a c"), (None, None)], "doc_id long, text string")
+    found = hidden_markov.score(df).collect()
+    assert sorted(r.n_tokens for r in found) == [1, 3, 3, 3] and len({(r.score, r.base_score) for r in found if r.doc_id == 1}) == 1
 
 
 def test_pipeline(spark, tmp_path):
