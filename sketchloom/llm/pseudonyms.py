@@ -4,10 +4,19 @@ A value that passes its validity test (e-mail addresses, telephone numbers, IPv4
 accounts by IBAN's remainder, social security numbers, calendar dates) is ranked among all values of its format, the rank
 is permuted by a keyed Feistel network, and the value at the new rank takes its place: separators, lengths, character
 classes, check digits and calendars stay valid. The permutation depends on the key and the kind only, so equal values
-have equal pseudonyms in all documents, and unmask() inverts it with the key.
+have equal pseudonyms in all documents, and unmask() inverts it with the key. Equal means: a calendar day in any of its
+notations, a telephone number with any separators and with or without its country code, a card or account with or without
+spaces, an address in small or large letters.
+
+What stays: whether a date's day is above 12 and whether day or month is below 10 (so that its reading stays the same), digits of a telephone number before the
+last ten, the country of an account, the top-level domain of an address. Dates are of 1900 to 2099, in digits, with years of
+four digits; a/b/year is read month first where both readings are valid. A match that fails its test is tried again at its
+shorter ends, and the scan goes on behind its start. unmask() reads values as this scan does; where neighbouring numbers
+make other values than before, only the spans tell.
 
 Kinds earlier in KINDS win where matches overlap. Null texts stay null, empty ones empty; rows are independent, so
-repeated rows give repeated results, and other columns than doc_id and text are not read.
+repeated rows give repeated results, long texts take time in proportion to their length, and other columns than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -16,10 +25,11 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
@@ -29,9 +39,9 @@ _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[/.-]\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?:(?=T\d)|(?!\w|[/.-]\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
+    "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w|[.-]\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
 }
 KINDS = tuple(_PATTERNS)
@@ -102,8 +112,8 @@ def _put(shape: str, digits: str) -> str:
 
 
 def _email(text, move):
-    name, _, rest = text.partition("@")
-    return _permuted(name, move, "email") + "@" + rest if re.search("[A-Za-z0-9]", name) else None
+    shown, _, top = text.rpartition(".")
+    return _permuted(shown, move, "email") + "." + top if re.search("[A-Za-z0-9]", text.partition("@")[0]) else None
 
 
 def _iban(text, move):
@@ -125,26 +135,30 @@ def _ip(text, move):
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _kind_of_day(day: datetime.date) -> int:
+    """Whether the day is above 12, and whether day or month is written with one digit: what tells how a date is to be read."""
+    return 2 * (day.day > 12) + (min(day.day, day.month) < 10)
+
+
+_KINDS_OF_DAYS = np.array([_kind_of_day(datetime.date.fromordinal(_FIRST_DAY + k)) for k in range(_DAYS)])
+_LIKE = [np.flatnonzero(_KINDS_OF_DAYS == k) for k in range(4)]  # days from _FIRST_DAY
+
+
 def _date(text, move):
-    """Written with or without leading zeros, as before; day and month keep their order where only one order is valid."""
+    """Written with or without leading zeros, as before."""
     sep = re.search(r"[-/.]", text)[0]
     parts = text.split(sep)
     padded = sep == "-" or len(parts[0]) + len(parts[1]) == 4
     for order in ((0, 1, 2),) if sep == "-" else ((2, 1, 0),) if sep == "." else ((2, 0, 1), (2, 1, 0)):
         year, month, day = (int(parts[i]) for i in order)
         try:
-            rank = datetime.date(year, month, day).toordinal() - _FIRST_DAY
+            at = datetime.date(year, month, day).toordinal() - _FIRST_DAY
         except ValueError:
             continue
-        if not 0 <= rank < _DAYS:
+        if not 0 <= at < _DAYS:
             continue
-        # only days of the month that tell the order again stay apart from those that don't, so that back() reads them alike
-        first = order == (2, 0, 1)
-        while True:
-            rank = move(rank, _DAYS, "date")
-            new = datetime.date.fromordinal(rank + _FIRST_DAY)
-            if sep != "/" or first or new.day > 12:
-                break
+        like = _LIKE[_KINDS_OF_DAYS[at]]
+        new = datetime.date.fromordinal(int(like[move(int(np.searchsorted(like, at)), len(like), f"date{_KINDS_OF_DAYS[at]}")]) + _FIRST_DAY)
         out = [""] * 3
         for i, x, width in zip(order, (new.year, new.month, new.day), (4, 2, 2)):
             out[i] = f"{x:0{width if padded else 1}d}"
@@ -172,26 +186,53 @@ def _card(text, move):
 
 
 def _phone(text, move):
-    """The country code after a plus sign stays."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])", text, re.A)
-    keep = code.end() if code else 1 if text[0] == "+" else 0
-    n = sum(c.isdigit() for c in text)
-    if not 8 <= n <= 15:
+    """The last ten digits move (all but the first after a plus sign, where there are fewer)."""
+    digits = re.sub(r"\D", "", text, flags=re.A)
+    if not 8 <= len(digits) <= 15:
         return None
-    digits = re.sub(r"\D", "", text[keep:], flags=re.A)
-    return text[:keep] + _put(text[keep:], _permuted(digits, move, f"phone{text[:keep]}"))
+    n = min(10, len(digits) - (text[0] == "+"))
+    return _put(text, digits[:-n] + _permuted(digits[-n:], move, "phone"))
 
 
 _RULES = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def replaced(text: str, move) -> tuple[str, list[tuple[int, int, str]]]:
+def _valid(text: str, kind: str, start: int, end: int, move) -> tuple[int, str] | None:
+    """(end, new value) of a match of which the whole or a shorter part up to a separator is valid; numbers of ten digits or more from the shortest on."""
+    if (new := _RULES[kind](text[start:end], move)) is not None:
+        return end, new
+    if kind not in ("iban", "phone"):
+        return None
+    ends = [k for k in range(start + 8, end) if not text[k].isalnum()]
+    if kind == "phone":
+        many = lambda k: sum(c.isdigit() for c in text[start:k]) >= 10
+        ends = [k for k in ends if many(k)] + [k for k in reversed(ends) if not many(k)]
+    else:
+        ends.reverse()
+    for k in ends:
+        if (m := PATTERNS[kind].match(text, start, k)) and m.end() == k and (new := _RULES[kind](m[0], move)) is not None:
+            return k, new
+    return None
+
+
+def replaced(text: str, move, kinds: tuple[str, ...] = KINDS) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with every valid value moved, and (start, end, kind) of each value in the text given."""
     found: list[tuple[int, int, str, str]] = []
-    for kind in KINDS:
-        for m in PATTERNS[kind].finditer(text):
-            if not any(m.start() < b and a < m.end() for a, b, _, _ in found) and (new := _RULES[kind](m[0], move)) is not None:
-                found.append((m.start(), m.end(), kind, new))
+    taken = bytearray(len(text))
+    for kind in kinds:
+        at = 0
+        while m := PATTERNS[kind].search(text, at):
+            start, end = m.span()
+            hit = taken.find(1, start, end)
+            if hit >= 0:  # what comes before a value that is taken
+                end, cut = hit, PATTERNS[kind].match(text, start, hit)
+                m = cut if cut and cut.end() == hit else None
+            if m and (good := _valid(text, kind, start, end, move)):
+                found.append((start, good[0], kind, good[1]))
+                taken[start : good[0]] = b"\1" * (good[0] - start)
+                at = good[0]
+            else:
+                at = start + 1
     found.sort()
     out, at = [], 0
     for a, b, _, new in found:
@@ -208,6 +249,14 @@ _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[ord(c) for c in "0123456789"]] = True
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in spark.sketchloom.pseudonyms.key; where that is unset, a random one for this session, whose pseudonyms nobody can undo later."""
+    name = "spark.sketchloom.pseudonyms.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name).encode()
+
+
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text with pseudonyms, spans ("kind:start:end" in the old text, comma-joined), n_values."""
 
@@ -219,8 +268,10 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
                 marks = np.concatenate([[0], np.cumsum(_MARKS[data])])[offsets]
                 at = np.concatenate([[0], np.cumsum(data == 64)])[offsets]
                 texts, spans, n = piece.column("text").to_pylist(), [""] * piece.num_rows, [0] * piece.num_rows
-                for i in np.flatnonzero((np.diff(marks) >= 4) | (np.diff(at) > 0)).tolist():
-                    texts[i], found = replaced(texts[i], move)
+                most = np.diff(marks)
+                for i in np.flatnonzero((most >= 2) | (np.diff(at) > 0)).tolist():
+                    # with fewer than four digits only addresses and accounts are left
+                    texts[i], found = replaced(texts[i], move, KINDS if most[i] >= 4 else ("email", "iban"))
                     spans[i], n[i] = ",".join(f"{k}:{a}:{b}" for a, b, k in found), len(found)
                 yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "text": pa.array(texts, pa.string()), "spans": pa.array(spans), "n_values": pa.array(n, pa.int64())})
 

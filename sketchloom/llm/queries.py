@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), key=b"linkage key of this corpus")
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), key=pseudonyms.session_key(spark))
 
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
