@@ -1,23 +1,28 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line of navigation, headers, footers, sidebars, notices,
-adverts, forms, reader comments, scripts and styles counts no text, nor does a line mostly of links outside a marked
-article. Weighted text lengths are summed over windows of WINDOW lines. Where a window's sum rises from nothing to SURGE or
-more the text begins, at the dive back to nothing it ends, and the lines between that count text are kept, short ones
-included.
+Markup is stripped to lines, one for each block element. Text within navigation, headers, footers, sidebars, notices,
+adverts, forms, reader comments, scripts and styles doesn't count, nor does a line mostly of links outside a marked
+article; an advert inside a line leaves the rest of it. Weighted text lengths are summed over windows of WINDOW lines. Where
+a window's sum rises from nothing to SURGE or more the text begins, at the dive back to nothing it ends, and the lines
+between that count text are kept, short ones included.
 
 Marks only weigh lines. Where the marked article holds at least as much text as the rest, its lines weigh MARKED times
 their length and lines outside it what they have over OUTSIDE characters; where it holds less (an empty <main>, articles
-that are teasers) marks are not regarded. A first heading weighs MARKED times its length on every page.
+that are teasers) marks are not regarded. A first heading weighs MARKED times its length on every page. Lines of the
+element that holds most of the text found so weigh SURGE at least in a second turn, so that a short paragraph of it is found
+again behind an advert of several lines.
 
-A page without any surge falls back to its lines that count text. Null and empty pages have an empty text. Rows are
-independent; other columns than page_id, url and html are not read.
+A page without any surge falls back to its lines that count text. Null and empty pages have an empty text, repeated pages
+repeated texts. Pages are independent and take time in proportion to their length; other columns than page_id, url and html
+are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +34,7 @@ MARKED = 4
 OUTSIDE = 2 * SURGE
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("nav header footer aside form menu dialog button select option textarea script style noscript template svg iframe object head title canvas audio video map math label input fieldset datalist search".split())
+HOLDS = frozenset("address article aside body center details dialog div figure footer form header main nav search section td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 NOISE = re.compile(
@@ -36,7 +42,10 @@ NOISE = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.S)
+NEGATED = re.compile(r"(?:no|non|not|without|has|with|hide|hidden)[_-]", re.I)
+NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
+UNFINISHED = re.compile(r"\s*<[/!?A-Za-z]")
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 NEXT_TAG = re.compile(r"</?[A-Za-z]")
@@ -52,96 +61,164 @@ def _is_noise(tag: str, attributes: str) -> bool:
         return False
     for name, *value in ATTRIBUTE.findall(attributes):
         name, text = name.lower(), next(filter(None, value), "")
-        if name in ("class", "id") and NOISE.search(text) or name == "role" and text.lower() in ROLES or name == "aria-hidden" and text.lower() == "true":
+        if name in ("class", "id") and any(NOISE.search(x) and not NEGATED.match(x) for x in text.split()) or name == "role" and text.lower() in ROLES or name == "aria-hidden" and text.lower() == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int, bool]]:
-    """(text, counts, inside an article, characters in links, in a first heading) of every line."""
-    out: list[tuple[str, bool, bool, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise here, inside an article
-    held: list[str] = []
+class _Tags:
+    """Finds tags from left to right; what a search hasn't found once is not searched for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.unclosed: set[str] = set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0 and at < self.last[">"] or at >= 0 and page.startswith("<!--", at):
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), False, "", ""
+            if page[at + 1] in "!?":
+                return at, page.index(">", at) + 1, False, "", ""
+            if m := NAME.match(page, at):
+                end = m.end()
+                while end <= self.last[">"]:
+                    q = QUOTE_OR_END.search(page, end)
+                    if q[0] == ">":
+                        return at, q.end(), bool(m[1]), m[2].lower(), page[m.end() : q.start()]
+                    end = page.index(q[0], q.end()) + 1 if q.end() <= self.last[q[0]] else q.end()  # an unmatched quote is a character
+            at += 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the text of a tag without markup ends; of one never closed, before the next tag (of code, the next block)."""
+        if tag not in self.unclosed:
+            if end := ENDS[tag].search(self.page, at):
+                return end.end()
+            self.unclosed.add(tag)
+        end = (NEXT_BLOCK if tag in ("script", "style") else NEXT_TAG).search(self.page, at)
+        return end.start() if end else len(self.page)
+
+
+@dataclass
+class Line:
+    text: str
+    counts: bool
+    article: bool = False
+    link_chars: int = 0
+    heading: bool = False
+    holder: int = 0
+
+
+def lines_of(page: str) -> list[Line]:
+    out: list[Line] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, noise here, inside an article, the element that holds text here
+    open_: Counter[str] = Counter()
+    held: dict[bool, list[str]] = {False: [], True: []}  # by noise
     noise = article = False
-    links = link_chars = 0
-    at = 0
+    links = link_chars = holder = elements = at = 0
+    tags = _Tags(page)
 
     def close():
         nonlocal link_chars
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            out.append((text, not noise, article, link_chars, any(x[0] == "h1" for x in stack)))
+        text, other = (" ".join(html.unescape("".join(held[x])).split()) for x in (False, True))
+        if text or other:
+            out.append(Line(text or other, bool(text), article, link_chars if text else 0, open_["h1"] > 0, holder))
+        held[False].clear()
+        held[True].clear()
         link_chars = 0
 
     def put(text: str):
         nonlocal link_chars
         if text:
-            held.append(text)
-            link_chars += len(text) if links else 0
-
-    while m := TOKEN.search(page, at):
-        put(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            held[noise].append(text)
+            link_chars += len(text) if links and not noise else 0
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
+    while found := tags.next(at):
+        start, end, closes, tag, attributes = found
+        put(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, opens = m[2].lower(), not m[1]
         if tag == "br":
-            held.append("\n")
+            held[noise].append("\n")
             continue
-        if tag in BLOCKS or tag in SKIPPED:
+        block = tag in BLOCKS or tag in SKIPPED
+        if block:
             close()
+            while stack and stack[-1][0] == "span":  # not closed in its line
+                pop()
         if tag == "a":
-            links = max(0, links + (1 if opens else -1))
-        if opens and tag in SKIPPED and SELF_CLOSED.search(m[3]):
+            links = max(0, links + (-1 if closes else 1))
+        if not closes and tag in SKIPPED and SELF_CLOSED.search(attributes):
             continue
-        if opens and tag in RAW:
-            end = ENDS[tag].search(page, at)
-            if not end:  # never closed: only what comes before the next tag (of code, the next block) is its own
-                end = (NEXT_BLOCK if tag in ("script", "style") else NEXT_TAG).search(page, at)
-                at = end.start() if end else len(page)
-            else:
-                at = end.end()
+        if not closes and tag in RAW:
+            at = tags.raw_end(tag, at)
             continue
-        if opens and tag not in VOID:
+        if not closes and tag not in VOID:
             if tag in BLOCKS and stack and stack[-1][0] in CLOSED_BY_BLOCK and (stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1][0] == tag):
-                stack.pop()
-            if tag in BLOCKS or tag in SKIPPED or tag == "span":
-                up = stack[-1] if stack else ("", False, False)
-                stack.append((tag, up[1] or _is_noise(tag, m[3]), up[2] or tag in ("article", "main")))
-        elif not opens and any(x[0] == tag for x in stack):
-            while stack.pop()[0] != tag:
+                pop()
+            if block or tag == "span":
+                up = stack[-1] if stack else ("", False, False, 0)
+                elements += tag in HOLDS
+                stack.append((tag, up[1] or _is_noise(tag, attributes), up[2] or tag in ("article", "main"), elements if tag in HOLDS else up[3]))
+                open_[tag] += 1
+        elif closes and open_[tag] > 0:
+            while pop() != tag:
                 pass
-        noise, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-    put(page[at:] if not page[at:].lstrip().startswith("<") else "")
+        _, noise, article, holder = stack[-1] if stack else ("", False, False, 0)
+    put("" if UNFINISHED.match(page[at:]) else page[at:])
     close()
     return out
 
 
-def weights(lines: list[tuple[str, bool, bool, int, bool]]) -> list[int]:
+def weights(lines: list[Line]) -> list[int]:
     """What every line brings to its windows."""
-    counts = [len(text) if ok and 2 * link <= len(text) else 0 for text, ok, _, link, _ in lines]
-    within = [len(text) if ok and inside else 0 for text, ok, inside, _, _ in lines]
-    rest = sum(n for n, (_, _, inside, _, _) in zip(counts, lines) if not inside)
+    counts = [len(x.text) if x.counts and 2 * x.link_chars <= len(x.text) else 0 for x in lines]
+    within = [len(x.text) if x.counts and x.article else 0 for x in lines]
+    rest = sum(n for n, x in zip(counts, lines) if not x.article)
     if sum(within) and sum(within) >= rest:
-        return [MARKED * n if inside else max(0, c - OUTSIDE) for n, c, (_, _, inside, _, _) in zip(within, counts, lines)]
-    return [MARKED * n if heading else n for n, (*_, heading) in zip(counts, lines)]
+        return [MARKED * n if x.article else max(0, c - OUTSIDE) for n, c, x in zip(within, counts, lines)]
+    return [MARKED * n if x.heading else n for n, x in zip(counts, lines)]
+
+
+def between(counts: list[int]) -> list[bool]:
+    """Lines from a surge of the windows' sums to the dive after it."""
+    keep, begun = [False] * len(counts), False
+    total, reach = sum(counts[: WINDOW - 1]), 0
+    for i in range(len(counts)):
+        total += counts[i + WINDOW - 1] if i + WINDOW - 1 < len(counts) else 0
+        begun = total > 0 and (begun or total >= SURGE)
+        if begun:
+            for j in range(max(i, reach), min(i + WINDOW, len(counts))):
+                keep[j] = True
+            reach = i + WINDOW
+        total -= counts[i]
+    return keep
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     counts = weights(lines)
-    sums = [sum(counts[i : i + WINDOW]) for i in range(len(counts))]
-    keep = [False] * len(counts)
-    begun = False
-    for i, total in enumerate(sums):
-        begun = total > 0 and (begun or total >= SURGE)  # surge to dive
-        if begun:
-            for j in range(i, min(i + WINDOW, len(counts))):
-                keep[j] = True
+    keep = between(counts)
+    held: dict[int, int] = defaultdict(int)
+    for x, n, k in zip(lines, counts, keep):
+        held[x.holder] += len(x.text) if n and k else 0
+    most = max(held, key=held.get, default=0)
+    if 2 * held[most] > sum(held.values()):
+        counts = [max(n, SURGE) if n and x.holder == most else n for x, n in zip(lines, counts)]
+        keep = between(counts)
     if not any(keep):
         keep = [True] * len(counts)
-    return "\n".join(text for (text, *_), n, k in zip(lines, counts, keep) if n and k)
+    return "\n".join(x.text for x, n, k in zip(lines, counts, keep) if n and k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -77,10 +77,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], coder, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    out = []
+    out, near, later = [], [], 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        hits = [x for x in base if x[0] < b and a < x[2]]
+        while later < len(base) and base[later][0] < b:
+            near.append(base[later])
+            later += 1
+        near = hits = [x for x in near if a < x[2]]
         if not hits:
             if not is_identifier(m[0], coder, max_ratio) and ratio(m[0], coder) <= max_ratio:
                 out.append((a, 3, b))
