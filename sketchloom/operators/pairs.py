@@ -2,7 +2,9 @@
 
 The members are joined with themselves on the hash with i < j (one shuffle, used by both sides), counted by pair with
 partial aggregation, and mirrored after the count, which halves the joined rows. Hashes in one sketch only meet nothing.
-A hash in a third of all sketches is a skewed join key, which adaptive execution splits on either side.
+The join is a merge join by hint: Spark would estimate the exploded members by their unexploded source and broadcast them,
+and a merge join reads one exchange for both sides. A hash in a third of all sketches is a skewed join key, which adaptive
+execution splits on either side.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 def intersections(members: DataFrame, mirrored: bool = True) -> DataFrame:
     """members(id, hash) -> i, j, intersection of all pairs of different sketches with something in common."""
     a, b = members.select(F.col("id").alias("i"), "hash"), members.select(F.col("id").alias("j"), "hash")
-    half = a.join(b, "hash").where("i < j").groupBy("i", "j").agg(F.count("*").alias("intersection"))
+    half = a.hint("merge").join(b, "hash").where("i < j").groupBy("i", "j").agg(F.count("*").alias("intersection"))
     if not mirrored:
         return half
     both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
@@ -25,7 +27,7 @@ def minimum_multiplicity(bags: DataFrame) -> DataFrame:
     """bags(id, hash) with repeated rows -> i, j, intersection by the smaller count of each hash (i < j)."""
     counted = bags.groupBy("id", "hash").agg(F.count("*").alias("m"))
     a, b = (counted.select(F.col("id").alias(x), "hash", F.col("m").alias(f"m_{x}")) for x in ("i", "j"))
-    return a.join(b, "hash").where("i < j").groupBy("i", "j").agg(F.sum(F.least("m_i", "m_j")).alias("intersection"))
+    return a.hint("merge").join(b, "hash").where("i < j").groupBy("i", "j").agg(F.sum(F.least("m_i", "m_j")).alias("intersection"))
 
 
 def similarities(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def similar(sized: DataFrame, threshold: float | None = None) -> DataFrame:
     Sizes ride along with the members, so the plan is one shuffle by hash and one by pair.
     """
     a, b = (sized.select(F.col("id").alias(x), F.col("size").alias(f"n_{x}"), "hash") for x in ("i", "j"))
-    half = a.join(b, "hash").where("i < j").groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("intersection"))
+    half = a.hint("merge").join(b, "hash").where("i < j").groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("intersection"))
     x = F.col("intersection").cast("double")
     row = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (x / F.col(f"n_{i}")).alias("c_ij"), (x / F.col(f"n_{j}")).alias("c_ji"))
     rows = half.select("intersection", (x / (F.col("n_i") + F.col("n_j") - F.col("intersection"))).alias("jaccard"), F.explode(F.array(row("i", "j"), row("j", "i"))).alias("p"))
@@ -59,8 +61,10 @@ def at_threshold(similar: DataFrame, threshold: float = 0.01) -> DataFrame:
     return similar.where(F.col("c_ij") >= float32(threshold))
 
 
-def jaccard_matrix(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(i, j, value) of all cells: 1 on the diagonal, also of empty sketches, 0 for nothing in common. The size of this format is the square of the sketches."""
+def jaccard_matrix(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> DataFrame:
+    """(i, j, value) of all cells: 1 on the diagonal, also of empty sketches, 0 for nothing in common. The size of this format is the square of the sketches; more than `most` are refused."""
+    if (n := sizes.count()) > most:
+        raise ValueError(f"{n} sketches make {n * n} cells; use the pair list")
     cells = sizes.select(F.col("id").alias("i")).crossJoin(sizes.select(F.col("id").alias("j")))
     known = similarities(pairs, sizes).select("i", "j", "jaccard")
     return cells.join(known, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("value"))
@@ -69,3 +73,10 @@ def jaccard_matrix(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def intersection_matrix(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(i, j, value) of the cells above 0, the sizes on the diagonal."""
     return pairs.select("i", "j", F.col("intersection").alias("value")).union(sizes.where("size > 0").select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("size").cast("long")))
+
+
+def matrix_preview(cells: DataFrame, sizes: DataFrame, n: int = 10) -> DataFrame:
+    """The cells(i, j, value) of the n smallest ids, absent ones as 0: a report."""
+    first = sizes.select("id").orderBy("id").limit(n)
+    grid = first.toDF("i").crossJoin(first.toDF("j"))  # n * n rows
+    return grid.join(cells.select("i", "j", F.col("value").cast("double").alias("known")), ["i", "j"], "left").select("i", "j", F.coalesce("known", F.lit(0.0)).alias("value"))

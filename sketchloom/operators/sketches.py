@@ -6,22 +6,18 @@ every sketch, empty ones included.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.functions import u64
+from sketchloom.sources.staging import shared_root, written
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the shared folder spark.checkpoint.dir names; a folder of its own where that is unset in local mode."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root or spark.conf.get("spark.sql.warehouse.dir"))
+    """df cut from its lineage by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
@@ -49,6 +45,11 @@ def hash_index(members: DataFrame, min_df: int = 2) -> DataFrame:
     return members.groupBy("hash").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") >= min_df)
 
 
+def posting_segments(members: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """(hash, segment, ids): postings in segments of ids from segment * span on, so that the list of a hash in a third of all sketches is no task's work alone."""
+    return members.groupBy("hash", F.floor(F.col("id") / span).alias("segment")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
 def index_members(index: DataFrame) -> DataFrame:
     """The long form of an index that was written earlier."""
     return index.select(F.explode("ids").alias("id"), "hash")
@@ -69,8 +70,9 @@ def presence_matrix(members: DataFrame) -> DataFrame:
     """(id, col): col is the place of the hash among all distinct hashes in unsigned order, from 0.
 
     The order is a range-partitioned sort; places are those within a partition plus the sizes of the partitions before it,
-    so no partition holds all hashes.
+    so no partition holds all hashes. Members are written once, as the order and the places both need them.
     """
+    members = written(members, "presence-members")
     ordered = members.select("hash").distinct().withColumn("key", u64.order_key(F.col("hash"))).orderBy("key")
     ordered = checkpointed(ordered.withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -158,14 +158,14 @@ def _sketch_sql(name: str, table: str, key: str) -> str:
 
 
 _DOCS = "WITH " + _sketch_sql("m", "documents", "doc_id")
-_SUPPLIERS = """WITH m AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS hash FROM lineitem),
+SUPPLIERS_SQL = """WITH m AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS hash FROM lineitem),
 m_n AS (SELECT s_suppkey AS id, count(m.hash) AS size FROM supplier LEFT JOIN m ON s_suppkey = m.id GROUP BY s_suppkey)"""
-_PAIRS = """,
+PAIRS_SQL = """,
 x AS (SELECT a.id AS i, b.id AS j, count(*) AS intersection FROM m a JOIN m b ON a.hash = b.hash AND a.id <> b.id GROUP BY a.id, b.id),
 s AS (SELECT i, j, intersection, intersection::DOUBLE / (p.size + q.size - intersection) AS jaccard,
   intersection::DOUBLE / p.size AS c_ij, intersection::DOUBLE / q.size AS c_ji FROM x JOIN m_n p ON i = p.id JOIN m_n q ON j = q.id)
 """
-_D = _DOCS + _PAIRS
+_D = _DOCS + PAIRS_SQL
 
 
 def _float32(t: float) -> str:
@@ -215,10 +215,10 @@ ORACLES: dict[str, str] = {
     "pair_jaccard": f"{_D} SELECT i, j, intersection, jaccard FROM s",
     "pair_containment_threshold": f"{_D} SELECT * FROM s WHERE c_ij >= {_float32(0.01)}",
     "pair_threshold_edge": f"{_D} SELECT * FROM s WHERE c_ij >= {_float32(EDGE)}",
-    "supplier_pairs": f"{_SUPPLIERS}{_PAIRS} SELECT * FROM s WHERE c_ij >= {_float32(0.01)}",
-    "jaccard_matrix_coo": f"""{_SUPPLIERS}{_PAIRS} SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 1.0::DOUBLE ELSE coalesce(jaccard, 0.0::DOUBLE) END AS value
+    "supplier_pairs": f"{SUPPLIERS_SQL}{PAIRS_SQL} SELECT * FROM s WHERE c_ij >= {_float32(0.01)}",
+    "jaccard_matrix_coo": f"""{SUPPLIERS_SQL}{PAIRS_SQL} SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 1.0::DOUBLE ELSE coalesce(jaccard, 0.0::DOUBLE) END AS value
   FROM m_n a CROSS JOIN m_n b LEFT JOIN s ON s.i = a.id AND s.j = b.id""",
-    "intersection_matrix_coo": f"{_SUPPLIERS}{_PAIRS} SELECT i, j, intersection AS value FROM x UNION ALL SELECT id, id, size FROM m_n WHERE size > 0",
+    "intersection_matrix_coo": f"{SUPPLIERS_SQL}{PAIRS_SQL} SELECT i, j, intersection AS value FROM x UNION ALL SELECT id, id, size FROM m_n WHERE size > 0",
     "presence_matrix_coo": f"{_DOCS} SELECT id, col FROM m JOIN (SELECT hash, row_number() OVER (ORDER BY hash::UBIGINT) - 1 AS col FROM (SELECT DISTINCT hash FROM m)) USING (hash)",
     "dereplicate": f"""{_D} SELECT id, size::INTEGER AS size FROM m_n WHERE id NOT IN (SELECT i FROM s JOIN m_n p ON i = p.id JOIN m_n q ON j = q.id
   WHERE c_ij >= {_float32(0.05)} AND (q.size > p.size OR q.size = p.size AND j > i))""",

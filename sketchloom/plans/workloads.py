@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchloom.functions.ngrams import ngram_sets
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hash60(text: Column) -> Column:
-    """60 bits of md5 as a bigint, the same in other SQL engines."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-
-
 def text_sketches(rows: DataFrame, id_column: str, n: int = 3) -> DataFrame:
     """(id, mins) of the distinct word n-grams of text; shorter texts are empty sketches."""
-    # the words are bound by a lambda, so that no optimizer rule copies their split into the loop over n-grams
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: hash60(F.array_join(F.slice(w, i, n), " ")))
-    sets = F.transform(F.array(F.split(F.lower("text"), r"\s+")), lambda w: F.when(F.size(w) >= n, F.array_distinct(grams(w))).otherwise(F.array().cast("array<bigint>")))
-    # exploding one array of sets makes them a column that is computed once, however often plans above refer to it
-    return rows.select(F.col(id_column).alias("id"), F.explode(sets).alias("mins"))
+    return ngram_sets(rows.select(F.col(id_column).alias("id"), F.split(F.lower("text"), r"\s+").alias("words")), n)
 
 
 def document_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,3 +33,11 @@ def supplier_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("sequence"))
+
+
+def supplier_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, mins): suppliers with the parts they have sold as unsigned hashes, odd parts from 2**63 on, as text."""
+    hashes = F.when(F.col("hash") % 2 == 1, F.col("hash").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).otherwise(F.col("hash").cast("decimal(20,0)"))
+    sold = supplier_members(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(hashes.cast("string"))).alias("mins"))
+    names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return names.join(sold, "id", "left").select("id", "name", F.coalesce("mins", F.array().cast("array<string>")).alias("mins"))

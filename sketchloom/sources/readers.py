@@ -31,6 +31,11 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^file:/+", "/")
 
 
+def sketch_paths(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path) of the files of a pattern, by the names that Spark lists them by."""
+    return spark.read.format("binaryFile").load(pattern).select(plain_path(F.col("path")).alias("path"))
+
+
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
