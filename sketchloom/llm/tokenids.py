@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from sketchloom.llm import textscan
 
-CACHE_STRETCHES = 2_000_000
+CACHE_STRETCHES = 1_400_000
 JOINED = 64  # stretches encoded as one text
 SLICE_BYTES = 1 << 18  # of text that is encoded at once
 _THREE = np.zeros(256, dtype=bool)
