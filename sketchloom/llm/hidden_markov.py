@@ -10,12 +10,13 @@ Training: in each of `rounds` rounds every partition runs Baum-Welch's expectati
 and its expected counts are added up across partitions in blocks of symbols; the last round also adds up those of tail words.
 An emission in a state is its expected count, half a count for each word and for an unknown one in proportion to the state's
 share of all tokens, and PRIOR tokens like the whole corpus. A tail word's share of its symbol in a state goes by its count
-plus a half, times its share of expected counts in the state, drawn towards the symbol's by DRAW tokens; so probabilities of
-known words and one unknown word a symbol add up to 1. Documents are cut into chunks only to compute in step: products of
+plus a half, times its share of expected counts in the state, drawn towards the symbol's by DRAW tokens (words counted fewer
+than LEAST times have the symbol's); so probabilities of known words and one unknown word a symbol add up to 1. Documents are cut into chunks only to compute in step: products of
 transition and emission matrices carry the forward and backward messages over chunk bounds, so expectations and likelihoods
 are those of whole documents. Likelihoods are scaled forward recursions.
 
-There is a tail symbol for TAIL_WORDS words, up to TAIL. The driver sees symbols' counts and expected counts (states x symbols) and the `own` most counted words, all of fixed size.
+There is a tail symbol for TAIL_WORDS words, up to TAIL. The driver sees symbols' counts and expected counts (states x symbols), the `own` most counted words and a filter of
+2**FILTER_BITS bits for words counted LEAST times or more, all of fixed size.
 
 A null or empty text is one end. Without training documents nothing is known. Repeated rows are scored one by one, null
 doc_ids count as empty ones in the split, very long texts are scored whole, and extra columns are not read.
@@ -42,7 +43,10 @@ BLOCK = 4_096
 END = np.uint64(0x5EED0E4D0C0DE001)
 PRIOR = 20.0
 DRAW = 2.0
+LEAST = 4
+FILTER_BITS = 24
 HELD_WORDS = 1_000_000
+BUCKET_WORDS = 1 << 17
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -293,16 +297,22 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return words[first], np.add.reduceat(values, first) if len(first) else values
 
 
-def _expectation(model, own: int, with_words: bool):
-    """Rows (block, data): -1 the starts, transitions and likelihood, from 0 on emissions of blocks of symbols, -2 tail words and their expected counts."""
+def _expectation(model, own: int, buckets: int = 0, wanted=None):
+    """Rows (block, data): -1 the starts, transitions and likelihood, from 0 on emissions of blocks of symbols; with buckets, below -1 the expected counts of the tail words that the filter lets through, dealt over buckets by hash."""
 
     def run(batches):
         start, step, emit = model.value
         total, held, size = counters(len(step), len(emit)), [], 0
         row = lambda block, data: pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([data], pa.binary())})
-        packed = lambda words, values: words.astype("<u8").tobytes() + values.astype("<f8").tobytes()
+
+        def out(words, values):
+            bucket = (words >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                yield row(-2 - int(bucket[at[0]]), words[at].astype("<u8").tobytes() + values[at].astype("<f4").tobytes())
+
         for _, symbols, first, rest in _batches_of(batches):
-            if not with_words:
+            if not buckets:
                 Chunks(symbols, first).expect(start, step, emit, total)
                 continue
             symbols, words = _apart(symbols, rest, own, len(emit))
@@ -314,17 +324,19 @@ def _expectation(model, own: int, with_words: bool):
             np.add.at(part["emit"].T, classes, found)
             for k in total:
                 total[k] = total[k] + part[k]
-            if len(words):
-                held.append((words, found))
-                size += len(words)
+            cell = words & np.uint64((1 << FILTER_BITS) - 1)
+            often = (np.frombuffer(wanted.value, np.uint8)[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            if often.any():
+                held.append((words[often], found[often]))
+                size += len(held[-1][0])
             if size > HELD_WORDS:
                 held = [_summed(held)]
                 size = len(held[0][0])
                 if size > HELD_WORDS // 2:
-                    yield row(-2, packed(*held[0]))
+                    yield from out(*held[0])
                     held, size = [], 0
         if held:
-            yield row(-2, packed(*_summed(held)))
+            yield from out(*_summed(held))
         yield row(-1, np.concatenate([total["start"], total["step"].reshape(-1), [total["log"]]]).astype("<f8").tobytes())
         for k in range(0, len(emit), BLOCK):
             part = total["emit"][:, k : k + BLOCK]
@@ -334,13 +346,30 @@ def _expectation(model, own: int, with_words: bool):
     return run
 
 
-def _word_rows(states: int):
+def _word_sums(states: int):
+    """Rows come sorted by block. Gives each word's sums, one bucket at a time."""
+
     def run(batches):
+        block, held, size = None, [], 0
+        names = ["word", *(f"g{k}" for k in range(states))]
+
+        def out():
+            words, values = _summed(held)
+            for k in range(0, len(words), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + (1 << 16)].view(np.int64)), *(pa.array(values[k : k + (1 << 16), x].astype(np.float32)) for x in range(states))], names=names)
+
         for batch in batches:
-            for data in batch.column("data").to_pylist():
-                n = len(data) // (8 + 8 * states)
-                words, values = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<f8", n * states, 8 * n).reshape(n, states)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(words)} | {f"g{k}": pa.array(np.ascontiguousarray(values[:, k])) for k in range(states)})
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                if b != block or size > HELD_WORDS:
+                    if b != block and held:
+                        yield from out()
+                    held, block = ([] if b != block else [_summed(held)]), b
+                    size = sum(len(x) for x, _ in held)
+                n = len(data) // (8 + 4 * states)
+                held.append((np.frombuffer(data, "<u8", n), np.frombuffer(data, "<f4", n * states, 8 * n).reshape(n, states).astype(np.float64)))
+                size += n
+        if held:
+            yield from out()
 
     return run
 
@@ -363,14 +392,14 @@ def first_model(unigram: np.ndarray, states: int = STATES, seed: int = 7) -> tup
     return np.full(states, 1 / states), step, np.ascontiguousarray((emit / emit.sum(axis=1, keepdims=True)).T)
 
 
-def train(encoded: DataFrame, unigram: np.ndarray, halves: np.ndarray, own: int, states: int = STATES, rounds: int = ROUNDS) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, DataFrame]:
-    """((start, step, emit by symbol), expected counts by state and symbol, expected counts of tail words) from encoded(symbols, rest) by Baum-Welch."""
+def train(encoded: DataFrame, unigram: np.ndarray, halves: np.ndarray, own: int, states: int, rounds: int, buckets: int, wanted) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, DataFrame]:
+    """((start, step, emit by symbol), expected counts by state and symbol, staged expected counts of tail words by bucket) from encoded(symbols, rest) by Baum-Welch."""
     context, model = encoded.sparkSession.sparkContext, first_model(unigram, states)
     for turn in range(rounds):
-        sent = context.broadcast(model)
-        expected = encoded.select("symbols", "rest").mapInArrow(_expectation(sent, own, turn == rounds - 1), "block int, data binary")
-        if turn == rounds - 1:
-            with small_batches(encoded.sparkSession, 8):
+        sent, last = context.broadcast(model), turn == rounds - 1
+        expected = encoded.select("symbols", "rest").mapInArrow(_expectation(sent, own, buckets if last else 0, wanted), "block int, data binary")
+        if last:
+            with small_batches(encoded.sparkSession, 200):
                 expected = written(expected, "lm-expected")
         counts = expected.where("block >= -1").repartition("block").mapInArrow(_add, "block int, data binary").collect()  # a row a block
         emit = np.zeros((states, len(unigram)))
@@ -387,8 +416,26 @@ def train(encoded: DataFrame, unigram: np.ndarray, halves: np.ndarray, own: int,
         smooth = emit + share * halves + PRIOR * unigram
         model = start / start.sum(), step / step.sum(axis=1, keepdims=True), np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T)
         sent.unpersist()
-    words = expected.where("block = -2").select("data").mapInArrow(_word_rows(states), "word long, " + ", ".join(f"g{k} double" for k in range(states)))
-    return model, emit, words
+    return model, emit, expected
+
+
+def _packed(states: int):
+    """Rows (part, word, c, weights or nulls) as blobs (part, often, data): of one part, words with counts and weights, or words and counts below LEAST."""
+    schema = pa.schema([("part", pa.int32()), ("often", pa.bool_()), ("data", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            part, word, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("part", "word", "c"))
+            weights = np.stack([batch.column(f"g{k}").to_numpy(zero_copy_only=False) for k in range(states)], axis=1).astype("<f4")
+            order = np.lexsort((c >= LEAST, part))
+            key = np.stack([part[order], c[order] >= LEAST], axis=1)
+            out = []
+            for at in np.split(order, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1) if len(order) else []:
+                often = bool(c[at[0]] >= LEAST)
+                out.append((int(part[at[0]]), often, word[at].astype("<i8").tobytes() + (c[at].astype("<i8").tobytes() + weights[at].tobytes() if often else c[at].astype("u1").tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return run, "part int, often boolean, data binary"
 
 
 def _score(model, own: int, norm: float):
@@ -396,23 +443,36 @@ def _score(model, own: int, norm: float):
     columns = ("doc_id", "held_out", "known", "log")
 
     def run(batches):
-        start, step, emit, unknown = model.value
-        states, part, words, values, parts = len(step), None, None, None, []
+        start, step, emit, parts, sums = model.value
+        states, part, words, values, blobs = len(step), None, None, None, []
+        classes_of = lambda w: (w & np.uint64(len(parts) - 1)).astype(np.int64)
+
+        def table():
+            """The words of the part, sorted, with counts and shares of their symbols."""
+            found = []
+            for often, data in blobs:
+                if often:
+                    n = len(data) // (16 + 4 * states)
+                    w, c, weight = np.frombuffer(data, "<u8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<f4", n * states, 16 * n).reshape(n, states)
+                else:
+                    n = len(data) // 9
+                    w, c = np.frombuffer(data, "<u8", n), np.frombuffer(data, "u1", n, 8 * n)
+                    weight = (c + 0.5)[:, None] * parts[classes_of(w)]
+                found.append((w, np.concatenate([c[:, None], weight / sums[classes_of(w)]], axis=1)))
+            w, x = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros((0, states + 1)))
+            order = np.argsort(w)
+            return w[order], x[order]
 
         def scored(batch):
             nonlocal words, values
             if words is None:
-                table = pa.Table.from_batches(parts) if parts else batch.slice(0, 0)
-                words = table.column("word").to_numpy().view(np.uint64) if parts else np.zeros(0, np.uint64)
-                values = np.stack([table.column(x).to_numpy() for x in ("c", *(f"g{k}" for k in range(states)))], axis=1) if parts else np.zeros((0, states + 1))
-                order = np.argsort(words)
-                words, values = words[order], values[order]
+                words, values = table()
             for rows, symbols, first, rest in _batches_of([batch], columns):
                 numbers, mine = _apart(symbols, rest, own, len(emit))
                 at = np.minimum(np.searchsorted(words, mine), max(len(words) - 1, 0))
                 known = words[at] == mine if len(words) else np.zeros(len(mine), dtype=bool)
-                classes = (mine & np.uint64(len(unknown) - 1)).astype(np.int64)
-                share, count = unknown[classes], np.zeros(len(mine))
+                classes = classes_of(mine)
+                share, count = 0.5 * parts[classes] / sums[classes], np.zeros(len(mine))
                 share[known], count[known] = values[at[known], 1:], values[at[known], 0]
                 chunks = Chunks(numbers, first)
                 likelihood, _ = chunks.forward(start, *chunks.products(step, np.concatenate([emit, emit[own + classes] * share])))
@@ -435,9 +495,9 @@ def _score(model, own: int, norm: float):
                 if a == b:
                     continue
                 if key[a, 0] != part:
-                    part, words, parts = key[a, 0], None, []
+                    part, words, blobs = key[a, 0], None, []
                 if key[a, 1] == 0:
-                    parts.append(batch.slice(a, b - a).select(["word", "c", *(f"g{k}" for k in range(states))]))
+                    blobs += zip(*(batch.column(x).slice(a, b - a).to_pylist() for x in ("often", "data")))
                 else:
                     yield from scored(batch.slice(a, b - a))
 
@@ -467,35 +527,44 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int
     encode, shape = _encode(context.broadcast(words))
     with small_batches(spark):
         encoded = written(rows.mapInArrow(encode, shape), "lm-encoded")
-    model, emit, expected = train(encoded.where("not held_out"), unigram / unigram.sum(), halves, own, states, rounds)
+    cell = F.col("word").bitwiseAND((1 << FILTER_BITS) - 1)
+    often = counts.where(F.col("c") >= LEAST).select(cell.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    bits = np.zeros(1 << FILTER_BITS >> 6, dtype="<i8")
+    found = often.toArrow()  # at most 2**(FILTER_BITS - 6) rows
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    buckets = max(16, -(-v // BUCKET_WORDS))
+    model, emit, staged = train(encoded.where("not held_out"), unigram / unigram.sum(), halves, own, states, rounds, buckets, context.broadcast(bits.tobytes()))
 
     # a tail word's part of its symbol: (c + 1/2) (g + DRAW q) / (c + DRAW) over its sum, q the symbol's parts of the states
     g = [f"g{k}" for k in range(states)]
-    expected = expected.groupBy("word").agg(*[F.sum(x).alias(x) for x in g])
+    with small_batches(spark, 200):
+        expected = written(staged.where("block < -1").repartition("block").sortWithinPartitions("block").mapInArrow(_word_sums(states), "word long, " + ", ".join(f"{x} float" for x in g)), "lm-sums")
+    released(staged)
     symbol = F.col("word").bitwiseAND(tail - 1)
     part = emit[:, own:].T
     parts = np.where(part.sum(axis=1, keepdims=True) > 0, part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300), 1 / states)
     shares = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(parts)], "symbol long, " + ", ".join(f"q{k} double" for k in range(states)))
-    weight = lambda k: (F.col("c") + 0.5) * (F.col(f"g{k}") + DRAW * F.col(f"q{k}")) / (F.col("c") + DRAW)
-    weighed = counts.join(expected, "word").join(F.broadcast(shares), symbol == F.col("symbol"))  # one row a tail symbol
-    weighed = written(weighed.select("word", "symbol", F.col("c").cast("double").alias("c"), *[weight(k).alias(f"g{k}") for k in range(states)]), "lm-words")
-    sums = np.zeros((tail, states))
-    for b, *x in weighed.groupBy("symbol").agg(*[F.sum(x) for x in g]).collect():  # one row a tail symbol
-        sums[b] = x
-    sums += 0.5 * parts
-    whole = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(sums)], "symbol long, " + ", ".join(f"s{k} double" for k in range(states)))
-    known = weighed.join(F.broadcast(whole), "symbol").select("word", "c", *[(F.col(f"g{k}") / F.col(f"s{k}")).alias(f"g{k}") for k in range(states)])
-
-    found = encoded.select("part", "rest").mapInArrow(_tail_words, "part int, word long").distinct().join(known, "word")
-    nothing = lambda *names: [F.lit(None).cast(t).alias(x) for x, t in names]
+    weight = lambda k: (F.col("c") + 0.5) * (F.col(f"g{k}").cast("double") + DRAW * F.col(f"q{k}")) / (F.col("c") + DRAW)
+    mine = spark.createDataFrame([(x,) for x in words.words.view(np.int64).tolist()], "word long")  # at most `own` rows
+    rest = counts.join(F.broadcast(mine), "word", "left_anti")
+    weighed = rest.join(expected, "word", "left").join(F.broadcast(shares), symbol == F.col("symbol"))  # one row a tail symbol
+    weighed = written(weighed.select("word", "symbol", "c", *[F.when(F.col("c") >= LEAST, weight(k)).cast("float").alias(f"g{k}") for k in range(states)]), "lm-words")
+    released(expected)
+    sums = 0.5 * parts
+    # one row a tail symbol
+    for b, c, *x in weighed.groupBy("symbol").agg(F.sum(F.when(F.col("c") < LEAST, F.col("c") + 0.5).otherwise(0.0)), *[F.sum(F.coalesce(F.col(x).cast("double"), F.lit(0.0))) for x in g]).collect():
+        sums[b] += np.array(x) + c * parts[b]
+
+    pack, shape = _packed(states)
+    found = encoded.select("part", "rest").mapInArrow(_tail_words, "part int, word long").repartition("word").distinct().join(weighed.drop("symbol"), "word").select("part", "word", "c", *g)
+    nothing = lambda names: [F.lit(None).cast(t).alias(x) for x, t in names]
     texts = [("doc_id", "long"), ("held_out", "boolean"), ("known", "long"), ("log", "double"), ("symbols", "binary"), ("rest", "binary")]
-    numbers = [("word", "long"), ("c", "double"), *[(x, "double") for x in g]]
-    both = found.select("part", F.lit(0).alias("kind"), *[x for x, _ in numbers], *nothing(*texts))
-    both = both.unionByName(encoded.select("part", F.lit(1).alias("kind"), *nothing(*numbers), *[x for x, _ in texts]))
-    model = context.broadcast((*model, 0.5 * parts / sums))
+    blobs = [("often", "boolean"), ("data", "binary")]
+    both = found.mapInArrow(pack, shape).select("part", F.lit(0).alias("kind"), "often", "data", *nothing(texts))
+    both = both.unionByName(encoded.select("part", F.lit(1).alias("kind"), *nothing(blobs), *[x for x, _ in texts]))
+    model = context.broadcast((*model, parts, sums))
     norm = float(np.log10(n + 0.5 * (v + 1)))
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    with small_batches(spark, 4000):
-        out = written(both.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_score(model, own, norm), shape), "lm-scores")
+    out = written(both.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_score(model, own, norm), shape), "lm-scores")
     released(counts, encoded, weighed)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
