@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: branch and bound over a ball tree per shard.
 
-Vectors become integers floor(scale * x). Rows are dealt to shards by a hash of their id, at most about SHARD_ROWS a
-shard. A shard holds each distinct vector once with the k + 1 smallest ids that have it, which is all that any query can
+Vectors become integers floor(scale * x). Rows are dealt to shards by a hash of their id, at most about SHARD_ROWS rows and
+SHARD_CELLS components a shard. A shard holds each distinct vector once with the k + 1 smallest ids that have it, which is all that any query can
 return, and builds a ball tree over them. For a query q a node with centre c and radius r can't hold a score above
 q.c + |q| r; a query visits leaves in descending order of this bound and stops below its kth score so far.
 
@@ -10,8 +10,9 @@ return only what reaches it. Queries are sent to shards as rows and searched in
 one shard and one block.
 
 Rows with a null id, a null vector, or null or non-finite components, or components beyond 64 bits after scaling, take no
-part. Vectors of different lengths are never compared. Ties go to the smaller id; a repeated id counts as the same row,
-so it is never its own neighbour. Extra columns are not read; empty tables give no rows.
+part. Vectors of different lengths are never compared. Ties go to the smaller id. Rows with the query's id are never its
+neighbours; each other row counts, repeated or not. A query id that occurs in several rows is one query, of the vector with
+the least (length, bytes). A score beyond 64 bits raises OverflowError. Extra columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from sketchloom.llm.staging import written
 
 SHARD_ROWS = 1 << 16
+SHARD_CELLS = 1 << 22
 MIN_SHARDS = 24
 LEAF_ROWS = 64
 QUERY_BLOCK = 1024
@@ -97,8 +99,8 @@ class Shard:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query's place, id, score) of up to k rows per query that reach its least score, best first."""
-        exact = self.largest * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 1 << 53
-        kind = np.float64 if exact else np.int64
+        most = self.largest * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
+        kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
         q, v = queries.astype(kind), self.vectors.astype(kind)
         kth = least.copy()
         who, leaf, bound = self.tree.leaf_bounds(queries.astype(np.float64), kth.astype(np.float64))
@@ -145,22 +147,20 @@ class Shard:
 def _integers(scale: int):
     def run(batches):
         for batch in batches:
-            out = {"id": [], "dim": [], "vector": []}
             vectors = batch.column("vector").cast(pa.list_(pa.float64()))
-            for i, x in zip(batch.column("id").to_pylist(), vectors):
-                if i is None or not x.is_valid or x.values.null_count:
-                    continue
-                y = x.values.to_numpy(zero_copy_only=False)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    y = np.floor(y * scale)
-                if not np.isfinite(y).all() or (np.abs(y) >= 2.0**63).any():
-                    continue
-                top = np.abs(y).max(initial=0)
-                width = 2 if top < 2**15 else 4 if top < 2**31 else 8
-                out["id"].append(i)
-                out["dim"].append(len(y))
-                out["vector"].append(y.astype(f"<i{width}").tobytes())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(out["id"], pa.int64()), "dim": pa.array(out["dim"], pa.int32()), "vector": pa.array(out["vector"], pa.binary())})
+            ends, values = vectors.offsets.to_numpy(), vectors.values
+            with np.errstate(over="ignore", invalid="ignore"):
+                y = np.floor(values.to_numpy(zero_copy_only=False) * scale)  # nulls become nan
+                bad = ~np.isfinite(y) | (np.abs(y) >= 2.0**63)
+            bad[values.is_null().to_numpy(zero_copy_only=False)] = True
+            out = np.diff(np.concatenate([[0], np.cumsum(bad)])[ends]) > 0
+            keep = batch.column("id").is_valid().to_numpy(zero_copy_only=False) & vectors.is_valid().to_numpy(zero_copy_only=False) & ~out
+            y[bad] = 0
+            top = np.abs(y).max(initial=0)
+            width = 2 if top < 2**15 else 4 if top < 2**31 else 8
+            raw = pa.Array.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(ends.astype(np.int64) * width), pa.py_buffer(y.astype(f"<i{width}"))]).cast(pa.binary())
+            columns = [batch.column("id"), pa.array(np.diff(ends), pa.int32()), raw]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "dim", "vector"]).filter(pa.array(keep))
 
     return run
 
@@ -214,11 +214,11 @@ def _search(k: int):
 def top_k(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), id, score of the k best rows for each query; is_query is over the columns id and vector."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
-    rows = rows.mapInArrow(_integers(scale), "id long, dim int, vector binary")
-    n = rows.count()
-    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
-    rows = written(rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "search-vectors")
-    queries = rows.where(is_query)
+    rows = written(rows.mapInArrow(_integers(scale), "id long, dim int, vector binary"), "search-vectors")
+    n, cells = rows.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS), -(-cells // SHARD_CELLS))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    queries = rows.where(is_query).groupBy("id", "shard").agg(F.min(F.struct("dim", "vector")).alias("v")).select("id", "shard", "v.dim", "v.vector")
     shape = "query_id long, id long, score long"
 
     def searched(asked: DataFrame) -> DataFrame:

@@ -32,12 +32,23 @@ def test_top_k(spark):
     rows += [(i, rows[7][1]) for i in range(600, 900)]  # one very common vector
     rows += [(901, None), (950, [1.0, None] + [0.0] * 6), (1000, [float("nan")] + [0.0] * 7), (None, [1.0] * 8), (1050, [1.0, 2.0]), (1100, [1e30] + [0.0] * 7), (1101, [0.5, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    rows += [rows[50]] * 3 + [rows[13]] * 2 + [rows[100]]  # repeated queries and candidates
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     found = vector_search.top_k(df, "vec_id", "embedding", F.col("id") % 50 == 0, k=5)
     rows = [(i, x) for i, x in rows if i != 1100]  # beyond 64 bits
     assert sorted(map(tuple, found.collect())) == brute_top(rows, 5)
     assert vector_search.top_k(df.limit(0), "vec_id", "embedding", F.col("id") % 50 == 0).count() == 0
 
 
+def test_scores_beyond_64_bits():
+    big = np.array([[2**62, 2**61], [2**62, -(2**62)], [1, 1]])
+    shard = vector_search.Shard(np.arange(3), big, 2)
+    who, found, score = shard.search(np.array([9]), np.array([[1, 1]]), np.array([vector_search.NONE]))
+    assert [(int(i), int(s)) for i, s in zip(found, score)] == [(0, 2**62 + 2**61), (2, 2)]
+    with pytest.raises(OverflowError):
+        shard.search(np.array([9]), big[:1], np.array([vector_search.NONE]))
+
+
 @pytest.mark.parametrize("scale", [1, 1 << 24])
 def test_shard_visits_what_it_must(scale):
     rnd = np.random.default_rng(1)
