@@ -148,6 +148,37 @@ def test_windows_follow_the_targets(spark, tokenizer):
                 assert abs(sum(r.length for r in held if r.source == source) - 512 * n / whole) <= packing.MIN_PIECE + len(total)
 
 
+def test_unnamed_sources_share_what_is_left(spark, tokenizer):
+    texts = [f"word{i} text of some length " * 40 for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "abc"[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    sequences = check_pieces(tokenizer, dict(enumerate(texts)), packing.pack(docs, {"a": 0.3, "b": 0.3}, size=512).collect(), 512)
+    for k in range(len(sequences) // 2):
+        share = {x: sum(r.length for r in sequences[k] if r.source == x) for x in "abc"}
+        assert all(abs(share[x] - 512 * t) <= packing.MIN_PIECE + 4 for x, t in zip("abc", (0.3, 0.3, 0.4)))
+
+
+@pytest.mark.parametrize("targets", [None, {"s3": 0.2, None: 0.1}])
+def test_more_sources_than_queues(spark, tokenizer, monkeypatch, targets):
+    """Sources in groups of groups have queues and targets of their own."""
+    monkeypatch.setattr(packing, "FANOUT", 3)
+    rnd = random.Random(3)
+    texts = [f"word{i} of a text " * rnd.randint(1, 30) for i in range(150)]
+    source = [f"s{i % 40}" if i % 41 else None for i in range(150)]
+    docs = spark.createDataFrame(list(zip(range(150), texts, source)), "doc_id long, text string, source string").repartition(3)
+    sequences = check_pieces(tokenizer, dict(enumerate(texts)), packing.pack(docs, targets, size=256).collect(), 256)
+    if targets:
+        share = sum(r.length for k in range(3) for r in sequences[k] if r.source == "s3") / (3 * 256)
+        assert abs(share - 0.2) < 0.05
+
+
+def test_packing_of_repeated_rows(spark, tokenizer):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "c", None), (2, "tie", "y")], "doc_id long, text string, source string")
+    rows = packing.pack(docs, size=8).collect()
+    n = {t: len(ids_of(tokenizer, t)) + 1 for t in ("a b", "c", "tie")}
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0) == [(0, n["c"]), (1, n["a b"]), (1, n["a b"]), (2, n["tie"])]
+    assert sum(r.length for r in rows) == 2 * n["a b"] + n["c"] + n["tie"]
+
+
 def test_schedule_against_a_loop():
     totals, weights, size = [1000, 37, 4000, 1], [1.0, 2.0, 1.0, 0.5], 100
     plan = packing.schedule(totals, weights, size)
