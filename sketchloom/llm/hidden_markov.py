@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
-from sketchloom.llm.staging import released, small_batches, written
+from sketchloom.llm.staging import released, small_batches, small_table, written
 
 STATES = 4
 ROUNDS = 4
@@ -46,7 +46,7 @@ DRAW = 2.0
 LEAST = 4
 FILTER_BITS = 24
 HELD_WORDS = 1_000_000
-BUCKET_WORDS = 1 << 17
+BUCKET_WORDS = 1 << 15
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,22 +130,24 @@ def _encode(words):
 
 
 def _tail_words(batches):
-    """(part, word): the tail words of each partition."""
-    part, held = None, np.zeros(0, np.uint64)
+    """(part, word): the tail words of each partition, repeated only where a partition has very many."""
+    part, held, size = None, [], 0
 
     def rows():
-        return pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(held), -1 if part is None else part, np.int32)), "word": pa.array(held.view(np.int64))})
+        words = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(words), part, np.int32)), "word": pa.array(words.view(np.int64))})
 
     for batch in batches:
         for p, raw in zip(batch.column("part").to_pylist(), batch.column("rest").to_pylist()):
-            if p != part or len(held) > HELD_WORDS:
-                held = np.unique(held)
-                if p != part or len(held) > HELD_WORDS // 2:
-                    yield rows()
-                    part, held = p, held[:0]
-            held = np.concatenate([held, np.unique(np.frombuffer(raw, "<u8"))]) if raw else held
-    held = np.unique(held)
-    yield rows()
+            if held and (p != part or size > HELD_WORDS):
+                yield rows()
+                held, size = [], 0
+            part = p
+            if raw:
+                held.append(np.frombuffer(raw, "<u8"))
+                size += len(held[-1])
+    if held:
+        yield rows()
 
 
 class Chunks:
@@ -543,9 +545,9 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int
     symbol = F.col("word").bitwiseAND(tail - 1)
     part = emit[:, own:].T
     parts = np.where(part.sum(axis=1, keepdims=True) > 0, part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300), 1 / states)
-    shares = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(parts)], "symbol long, " + ", ".join(f"q{k} double" for k in range(states)))
+    shares = small_table(spark, symbol=pa.array(np.arange(tail)), **{f"q{k}": pa.array(np.ascontiguousarray(parts[:, k])) for k in range(states)})
     weight = lambda k: (F.col("c") + 0.5) * (F.col(f"g{k}").cast("double") + DRAW * F.col(f"q{k}")) / (F.col("c") + DRAW)
-    mine = spark.createDataFrame([(x,) for x in words.words.view(np.int64).tolist()], "word long")  # at most `own` rows
+    mine = small_table(spark, word=pa.array(words.words.view(np.int64)))  # at most `own` rows
     rest = counts.join(F.broadcast(mine), "word", "left_anti")
     weighed = rest.join(expected, "word", "left").join(F.broadcast(shares), symbol == F.col("symbol"))  # one row a tail symbol
     weighed = written(weighed.select("word", "symbol", "c", *[F.when(F.col("c") >= LEAST, weight(k)).cast("float").alias(f"g{k}") for k in range(states)]), "lm-words")

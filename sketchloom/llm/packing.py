@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
-from sketchloom.llm.staging import small_batches, unless_large, written
+from sketchloom.llm.staging import small_batches, small_table, unless_large, written
 from sketchloom.llm.tokenids import SLICE_BYTES, encoder, vocabulary_path
 
 FANOUT = 128
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, size:
     parts = written(rows.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "packing-queues")
     sources = written(parts.groupBy("source").agg(F.sum("n").alias("n")), "packing-sources")
     named = list((targets or {}).items())
-    wanted = spark.createDataFrame([(s, float(t), True) for s, t in named], "name string, target double, named boolean")
+    wanted = small_table(spark, name=pa.array([s for s, _ in named], pa.string()), target=pa.array([float(t) for _, t in named], pa.float64()), named=pa.array([True] * len(named), pa.bool_()))
     sources = sources.join(F.broadcast(wanted), sources.source.eqNullSafe(wanted.name), "left").select("source", "n", "target", F.coalesce("named", F.lit(False)).alias("named"))
     unnamed, n_unnamed = sources.where("not named").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     left = max(0.0, 1 - sum(t for _, t in named)) if named else 1.0
@@ -230,7 +230,7 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, size:
     own = sources.where("named").collect() + sources.where("not named").orderBy(F.desc("n"), "source").limit(2 * FANOUT if n_unnamed <= 2 * FANOUT else FANOUT).collect()  # named sources, and at most 2 * FANOUT
     own.sort(key=lambda r: (-r.n, r.source is not None, r.source or ""))
     queues = [(r.n, r.target) for r in own]
-    numbers = spark.createDataFrame([(r.source, k) for k, r in enumerate(own)], "name string, queue int")
+    numbers = small_table(spark, name=pa.array([r.source for r in own], pa.string()), queue=pa.array(range(len(own)), pa.int32()))
     placed = sources.select("source").join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name")), "left").select("source", F.lit(None).cast("long").alias("group"), "queue")
     chains = None
     if n_unnamed > 2 * FANOUT:

@@ -3,32 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchloom.sources.staging import shared_root, written
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary folder in local mode and an error on a cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-stage-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: later steps survive lost executors and never recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
+__all__ = ["released", "shared_root", "small_batches", "small_table", "table", "unless_large", "written"]
 
 
 def released(*staged: DataFrame | None) -> None:
@@ -40,6 +22,11 @@ def released(*staged: DataFrame | None) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of the driver's own, by Arrow: rows given as Python objects would start a second set of Python workers in every executor."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def unless_large(df: DataFrame, rows: int) -> DataFrame:
     """A staged table, to be broadcast in a join if it has at most so many rows; else Spark chooses a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df

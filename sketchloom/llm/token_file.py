@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
-from sketchloom.llm.staging import released, shared_root, small_batches, written
+from sketchloom.llm.staging import released, shared_root, small_batches, small_table, written
 from sketchloom.llm.tokenids import SLICE_BYTES, encoder, vocabulary_path
 
 MAX_LENGTH = 18
@@ -214,7 +214,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str | None = No
     with small_batches(spark, 8):
         raw.mapInArrow(encode, "part int, segment long, blob binary").write.option("compression", "none").parquet(f"{path}/segments")
     released(raw)
-    spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
+    small_table(spark, lengths=pa.array([lengths.tobytes()], pa.binary())).coalesce(1).write.parquet(f"{path}/codebook")
     return path
 
 
