@@ -12,7 +12,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a temporary folder in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-stage-')}"
         spark.conf.set("spark.checkpoint.dir", root)
