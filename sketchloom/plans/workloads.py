@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.ngrams import ngram_sets
+from sketchloom.sources import readers
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_sketches(rows: DataFrame, id_column: str, n: int = 3) -> DataFrame:
     """(id, mins) of the distinct word n-grams of text; shorter texts are empty sketches."""
-    return ngram_sets(rows.select(F.col(id_column).alias("id"), F.split(F.lower("text"), r"\s+").alias("words")), n)
+    return ngram_sets(readers.spread(rows).select(F.col(id_column).alias("id"), F.split(F.lower("text"), r"\s+").alias("words")), n)
 
 
 def document_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,12 @@ PAIRS = "i int, j int, jaccard double, c_ij double, c_ji double"
 SEARCH_RESULTS = "query_name string, query_md5 string, match_name string, match_md5 string, containment double, max_containment double, jaccard double, intersect_hashes bigint"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt anew so that all of them work: a small file is often one row group, which can't be split. Tables of many files stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if 0 < len(table.inputFiles()) < cores else table
+
+
 def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
     """(id, column) of the lines of a list file, trimmed; the line's number is the id, so the list is read in one piece."""
     lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
