@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchloom.sources.readers import spread
 from sketchloom.sources.staging import shared_root, written
 
 __all__ = ["released", "shared_root", "small_batches", "small_table", "table", "unless_large", "written"]
@@ -45,4 +46,4 @@ def small_batches(spark: SparkSession, rows: int = 1000):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
