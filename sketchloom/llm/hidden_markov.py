@@ -47,6 +47,7 @@ LEAST = 4
 FILTER_BITS = 24
 HELD_WORDS = 1_000_000
 BUCKET_WORDS = 1 << 15
+SALTS = 64
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -403,7 +404,9 @@ def train(encoded: DataFrame, unigram: np.ndarray, halves: np.ndarray, own: int,
         if last:
             with small_batches(encoded.sparkSession, 200):
                 expected = written(expected, "lm-expected")
-        counts = expected.where("block >= -1").repartition("block").mapInArrow(_add, "block int, data binary").collect()  # a row a block
+        # summed in two steps, so that no task reads a block of every partition
+        some = expected.where("block >= -1").repartition("block", F.spark_partition_id() % SALTS).mapInArrow(_add, "block int, data binary")
+        counts = some.repartition("block").mapInArrow(_add, "block int, data binary").collect()  # a row a block
         emit = np.zeros((states, len(unigram)))
         head = np.zeros(states + states**2 + 1)
         for b, data in counts:

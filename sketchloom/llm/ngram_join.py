@@ -81,23 +81,30 @@ def _scan(n: int):
     return run
 
 
-def _add_counts(batches):
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-            more = np.frombuffer(zlib.decompress(data), "<u2").astype(np.uint32)
-            if b in held:
-                held[b] += np.minimum(more, 0xFFFFFFFF - held[b])
-            else:
-                held[b] = more
-    for b, total in held.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([zlib.compress(total.astype("<u4").tobytes(), 1)], pa.binary())})
+def _add_counts(width: str):
+    """Sums of blocks of counts of this width, as counts of four bytes."""
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                more = np.frombuffer(zlib.decompress(data), width).astype(np.uint32)
+                if b in held:
+                    held[b] += np.minimum(more, 0xFFFFFFFF - held[b])
+                else:
+                    held[b] = more
+        for b, total in held.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([zlib.compress(total.astype("<u4").tobytes(), 1)], pa.binary())})
+
+    return run
 
 
 def _frequency_classes(scan: DataFrame) -> np.ndarray:
     """The class (0 rare, 1 frequent, 2 very frequent) of every cell of the sketch, 2**LOG_COUNTERS bytes."""
     counts = np.zeros(1 << sig.LOG_COUNTERS, dtype=np.uint32)
-    for b, data in scan.where("kind = 1").select("block", "data").repartition("block").mapInArrow(_add_counts, "block int, data binary").collect():  # one row a block
+    shape = "block int, data binary"
+    some = scan.where("kind = 1").select("block", "data").repartition("block", F.spark_partition_id() % SALTS).mapInArrow(_add_counts("<u2"), shape)
+    for b, data in some.repartition("block").mapInArrow(_add_counts("<u4"), shape).collect():  # one row a block
         counts[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(zlib.decompress(data), "<u4")
     frequent = max(16, 4 * (int(counts.sum(dtype=np.uint64)) >> sig.LOG_COUNTERS))
     return (counts >= frequent).astype(np.uint8) + (counts >= 32 * frequent)
