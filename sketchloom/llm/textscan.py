@@ -55,7 +55,8 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
 
 
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
-    """Slices of a batch with about `size` text bytes each; a longer row makes a slice of its own."""
+    """Slices of a batch with about `size` text bytes each; a longer row makes a slice of its own. What Arrow holds of earlier batches goes back to the system."""
+    pa.default_memory_pool().release_unused()
     lengths = np.diff(column_bytes(batch.column(column))[1])
     group = np.cumsum(lengths) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(lengths)]
