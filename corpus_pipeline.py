@@ -24,11 +24,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):  # whole texts go through Python
+        return written(decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark")), "pipeline-decontamination")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs)
+    with small_batches(spark):
+        return written(secret_scan.redact(docs), "pipeline-secret-scan")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    with small_batches(spark):  # every stage hands whole texts to Python
-        for name, stage in STAGES[:-1]:
-            out = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-            released(docs)
-            docs = out
-        return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        if "staged_path" not in out.__dict__:
+            out = written(out, f"pipeline-{name}")
+        released(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
