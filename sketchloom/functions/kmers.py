@@ -70,17 +70,17 @@ def _chunks(k: int, size: int):
     return run
 
 
-def _windows(k: int, seed: int):
+def _windows(k: int, seed: int, keys: tuple[tuple[str, pa.DataType], ...] = (("id", pa.int64()),)):
     def run(batches):
         for batch in batches:
-            for i, at, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "at", "bytes"))):
-                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), k)
+            for *key, at, raw in zip(*(batch.column(c).to_pylist() for c in (*(name for name, _ in keys), "at", "bytes"))):
+                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), k) if len(raw) >= k else ()
                 for a in range(0, len(windows), ROWS):
                     block = np.ascontiguousarray(windows[a : a + ROWS])
                     h1, h2 = murmur3_x64_128(block, seed)
                     yield pa.RecordBatch.from_pydict(
-                        {
-                            "id": pa.array(np.full(len(block), i, np.int64)) if i is not None else pa.nulls(len(block), pa.int64()),
+                        {name: pa.repeat(pa.scalar(value, kind), len(block)) for (name, kind), value in zip(keys, key)}
+                        | {
                             "pos": pa.array(np.arange(at + a, at + a + len(block))),
                             "kmer": pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(block), [None, pa.py_buffer(block.tobytes())]).cast(pa.binary()),
                             "h1": pa.array(h1.view(np.int64)),
@@ -91,6 +91,13 @@ def _windows(k: int, seed: int):
     return run
 
 
+def chunk_hashes(chunks: DataFrame, k: int = 21, seed: int = 0) -> DataFrame:
+    """chunks(path, record, at, bytes), each with the k - 1 bytes after it -> path, record, pos, kmer, h1, h2 of the windows that begin in them."""
+    keys = (("path", pa.string()), ("record", pa.int64()))
+    out = chunks.mapInArrow(_windows(k, seed, keys), "path string, record long, pos long, kmer binary, h1 long, h2 long")
+    return out.withColumn("kmer", F.col("kmer").cast("string"))
+
+
 def kmer_hashes(sequences: DataFrame, k: int = 21, seed: int = 0) -> DataFrame:
     """sequences(id, sequence) -> id, pos (0-based byte), kmer, h1, h2 (bit patterns); sequences shorter than k have none.
 

@@ -9,9 +9,13 @@ execution splits on either side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sketchloom.sources.staging import written
+
 
 def intersections(members: DataFrame, mirrored: bool = True) -> DataFrame:
     """members(id, hash) -> i, j, intersection of all pairs of different sketches with something in common."""
@@ -70,6 +74,41 @@ def jaccard_matrix(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> D
     return cells.join(known, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("value"))
 
 
+def _dense(n: int):
+    def run(batches):
+        """Sorted cells of whole rows to rows of n values."""
+        schema = pa.schema([("line", pa.int64()), ("row", pa.list_(pa.float64()))])
+        line, row = None, None
+        for batch in batches:
+            lines, columns, values = (batch.column(c).to_numpy() for c in ("line", "column", "value"))
+            ends = np.append(np.flatnonzero(np.diff(lines)) + 1, len(lines)) if len(lines) else ()
+            begin = 0
+            for end in ends:
+                if lines[begin] != line:
+                    if row is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([line], pa.int64()), pa.array([row], pa.list_(pa.float64()))], schema=schema)
+                    line, row = int(lines[begin]), np.zeros(n)
+                row[columns[begin:end]] = values[begin:end]
+                begin = end
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([line], pa.int64()), pa.array([row], pa.list_(pa.float64()))], schema=schema)
+
+    return run
+
+
+def jaccard_rows(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> DataFrame:
+    """(line, row) of the dense Jaccard matrix in order of ids, lines from 0: rows of as many values as there are sketches, filled up with zeros where the task has the pairs of its range of lines, 1 on the diagonal."""
+    if (n := sizes.count()) > most:
+        raise ValueError(f"{n} sketches make {n * n} cells; use the pair list")
+    lines = written(sizes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("line")), "matrix-lines")  # at most `most` rows
+    known = similarities(pairs, sizes).select("i", "j", F.col("jaccard").alias("value"))
+    at = lambda x, name: lines.select(F.col("id").alias(x), F.col("line").alias(name))
+    cells = known.join(at("i", "line"), "i").join(at("j", "column"), "j").select("line", "column", "value")
+    own = lines.select("line", F.col("line").alias("column"), F.lit(1.0).alias("value"))
+    dealt = cells.unionByName(own).repartitionByRange("line").sortWithinPartitions("line", "column")
+    return dealt.mapInArrow(_dense(n), "line long, row array<double>")
+
+
 def intersection_matrix(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(i, j, value) of the cells above 0, the sizes on the diagonal."""
     return pairs.select("i", "j", F.col("intersection").alias("value")).union(sizes.where("size > 0").select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("size").cast("long")))

@@ -116,7 +116,7 @@ def dense_matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense Jaccard matrix as text, read back to cells by line and place."""
     members, sizes = _suppliers(spark, sf_dir)
     path = new_folder(spark, "dense-matrix")
-    sinks.write_dense_matrix(pairs.jaccard_matrix(pairs.intersections(members), sizes).repartition("i"), path)
+    sinks.write_dense_rows(pairs.jaccard_rows(pairs.intersections(members), sizes), path)
     return readers.read_dense_matrix(spark, path).select("i", F.posexplode("row").alias("j", "value"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sketchloom.functions import kmers, u64
 from sketchloom.operators import compare, dereplication, pairs, sketches
 from sketchloom.plans import workloads
+from sketchloom.sources.staging import written
 
 EDGE = 0.1  # a threshold that single precision moves
 
@@ -23,6 +24,12 @@ def _similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.similar(sketches.sized_members(workloads.document_sketches(spark, sf_dir)))
 
 
+def _kept_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members, sizes and similar pairs of sketches that are made once and written."""
+    nested = written(workloads.document_sketches(spark, sf_dir), "document-sketches")
+    return sketches.members(nested), sketches.sizes(nested), pairs.similar(sketches.sized_members(nested))
+
+
 def _similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.similarities(pairs.intersections(workloads.supplier_members(spark, sf_dir)), workloads.supplier_sizes(spark, sf_dir))
 
@@ -82,8 +89,8 @@ def presence_matrix_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dereplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _documents(spark, sf_dir)[1]
-    edges = pairs.at_threshold(_similar_documents(spark, sf_dir), 0.05).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    _, sizes, similar = _kept_documents(spark, sf_dir)
+    edges = pairs.at_threshold(similar, 0.05).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     return dereplication.dereplicate(sizes, edges)
 
 
@@ -101,22 +108,22 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs at one threshold against the pairs at another with a disturbed Jaccard for even queries."""
-    similar = _similar_documents(spark, sf_dir)
+    similar = _kept_documents(spark, sf_dir)[2]
     expected = pairs.at_threshold(similar, 0.2).withColumn("jaccard", F.when(F.col("i") % 2 == 0, F.col("jaccard") + 0.001).otherwise(F.col("jaccard")))
     return compare.compare_pairs(pairs.at_threshold(similar, EDGE), expected)
 
 
 def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs at a containment against pairs by Jaccard with each sketch's own, per query."""
-    sizes, similar = _documents(spark, sf_dir)[1], _similar_documents(spark, sf_dir)
+    _, sizes, similar = _kept_documents(spark, sf_dir)
     own = sizes.where("size > 0").select(F.col("id").alias("i"), F.lit(1.0).alias("jaccard"))
     expected = similar.select("i", "jaccard").union(own)
     return compare.count_check(sizes.select(F.col("id").alias("i")), pairs.at_threshold(similar, EDGE), expected)
 
 
 def recomputed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, sizes = _documents(spark, sf_dir)
-    given = pairs.at_threshold(_similar_documents(spark, sf_dir), EDGE).select("i", "j", F.round("jaccard", 2).alias("jaccard"))
+    members, sizes, similar = _kept_documents(spark, sf_dir)
+    given = pairs.at_threshold(similar, EDGE).select("i", "j", F.round("jaccard", 2).alias("jaccard"))
     return compare.recomputed(given, members, sizes)
 
 
@@ -172,8 +179,8 @@ def _float32(t: float) -> str:
     return f"{t}::FLOAT::DOUBLE"
 
 
-def _murmur_sql() -> str:
-    """The hash of 21-byte keys, one common table expression a step, in 128-bit unsigned arithmetic modulo 2**64."""
+def murmur_sql(source: str, keys: list[str]) -> str:
+    """The hash of the 21-byte kmer in the rows of a query, one common table expression a step, in 128-bit unsigned arithmetic modulo 2**64."""
     top = 1 << 64
     u = lambda x: f"{x}::UHUGEINT"
     times = lambda x, y: f"({x} * {u(y)} % {u(top)})"
@@ -195,12 +202,12 @@ def _murmur_sql() -> str:
     for factor in (int(kmers.FINAL1), int(kmers.FINAL2)):
         steps += [{x: f"xor({x}, {x} // {u(1 << 33)})" for x in ("x1", "x2")}, {x: times(x, factor) for x in ("x1", "x2")}]
     steps += [{x: f"xor({x}, {x} // {u(1 << 33)})" for x in ("x1", "x2")}, {"x1": plus("x1", "x2")}, {"x2": plus("x2", "x1")}]
-    known, out = ["id", "pos", "kmer"], [f"WITH f0 AS ({ORACLES['kmer_windows']})"]
+    known, out = list(keys), [f"WITH f0 AS ({source})"]
     for k, step in enumerate(steps, 1):
         new = [x for x in step if x not in known]
         out.append(f"f{k} AS (SELECT {', '.join([x if x not in step else f'{step[x]} AS {x}' for x in known] + [f'{step[x]} AS {x}' for x in new])} FROM f{k - 1})")
         known += new
-    return ",\n".join(out) + f"\nSELECT id, pos, kmer, x1::VARCHAR AS h1, x2::VARCHAR AS h2 FROM f{len(steps)}"
+    return ",\n".join(out) + f"\nSELECT {', '.join(keys)}, x1::VARCHAR AS h1, x2::VARCHAR AS h2 FROM f{len(steps)}"
 
 
 ORACLES: dict[str, str] = {
@@ -241,4 +248,4 @@ SELECT i, j, given AS jaccard, jaccard AS expected, abs(given - jaccard) <= 0.00
 SELECT b.id AS item_id, m.id AS doc_id, count(*) AS intersection, count(*)::DOUBLE / any_value(size) AS containment FROM m JOIN b ON m.hash = b.hash JOIN b_n ON b.id = b_n.id
 GROUP BY b.id, m.id HAVING count(*)::DOUBLE / any_value(size) >= {_float32(0.3)}""",
 }
-ORACLES["kmer_mmh3"] = _murmur_sql()
+ORACLES["kmer_mmh3"] = murmur_sql(ORACLES["kmer_windows"], ["id", "pos", "kmer"])

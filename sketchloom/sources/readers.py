@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions import u64
+from sketchloom.sources import splits
 
 SKETCH_JSON = f"array<struct<name:string,signatures:array<struct<mins:array<{u64.TEXT_TYPE}>>>>>"
 PAIRS = "i int, j int, jaccard double, c_ij double, c_ji double"
@@ -13,15 +19,15 @@ SEARCH_RESULTS = "query_name string, query_md5 string, match_name string, match_
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table of fewer files than the cluster has cores, dealt anew so that all of them work: a small file is often one row group, which can't be split. Tables of many files stay as they are."""
+    """A table whose files come to fewer input splits than the cluster has cores, dealt anew so that all of them work. Whatever is large enough to be split is left where it lies."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(2 * cores) if 0 < len(table.inputFiles()) < cores else table
+    return table.repartition(2 * cores) if 0 < table.rdd.getNumPartitions() < cores else table
 
 
 def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(id, column) of the lines of a list file, trimmed; the line's number is the id, so the list is read in one piece."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    return lines.select(F.posexplode("lines").alias("id", "line")).select("id", F.trim("line").alias(column)).where(F.col(column) != "")
+    """(id, column) of the lines of a list, trimmed, empty ones left out; the line's number is the id, counted on over the files of a folder."""
+    lines = splits.numbered_lines(spark, path)
+    return lines.select(F.col("number").cast("int").alias("id"), F.trim("value").alias(column)).where(F.col(column) != "")
 
 
 def read_file_list(spark: SparkSession, path: str) -> DataFrame:
@@ -42,28 +48,42 @@ def sketch_paths(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select(plain_path(F.col("path")).alias("path"))
 
 
-def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    return [p for p in paths if at(p).getFileSystem(conf).exists(at(p))]
+def _contents(root: str):
+    """Paths to the text of their files, read where the task runs; .gz files are decompressed, a missing file has none."""
+    schema = pa.schema([("path", pa.string()), ("value", pa.large_string())])
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                bare = re.sub("^file:/+", "/", path)
+                local = "://" not in bare and root.startswith("file:")
+                system, place = (fs.LocalFileSystem(), bare) if local else fs.FileSystem.from_uri(bare if "://" in bare else root + bare)
+                text = None
+                if system.get_file_info(place).is_file:
+                    with system.open_input_stream(place, compression=None) as f:
+                        data = f.read()
+                    text = (gzip.decompress(data) if path.endswith(".gz") else data).decode()
+                yield pa.RecordBatch.from_pydict({"path": [path], "value": [text]}, schema)
+
+    return run
 
 
 def read_sketches(spark: SparkSession, files: DataFrame, bag: bool = False) -> DataFrame:
     """files(id, path) -> id, path, name, mins (bit patterns), missing.
 
+    Files are looked up and read by the tasks that have their part of the list, so the driver sees no path. Paths without a
+    scheme are those of the default file system; Arrow must know the scheme (local files, HDFS, S3, GCS).
+
     Reads the first element and first signature of each JSON file; .gz files are decompressed by suffix. A missing file
     keeps its row with an empty sketch and missing = true, one without signatures likewise with missing = false. Hashes
     become distinct unless bag.
     """
-    paths = _existing(spark, [r.path for r in files.select("path").collect()])  # the list file was a driver's list already
-    empty = F.array().cast("array<bigint>")
-    if not paths:
-        return files.select("id", "path", F.lit(None).cast("string").alias("name"), empty.alias("mins"), F.lit(True).alias("missing"))
-    rows = spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("key"), F.from_json("value", SKETCH_JSON)[0].alias("x"))
+    root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/")
+    dealt = files.select("id", "path").repartition("path")  # a list is a small file: reading its files is the work
+    parsed = dealt.select("path").distinct().mapInArrow(_contents(root), "path string, value string").select("path", F.col("value").isNull().alias("missing"), F.from_json("value", SKETCH_JSON)[0].alias("x"))
     mins = F.transform(F.try_element_at("x.signatures", F.lit(1))["mins"], u64.to_bits)
-    read = rows.select("key", F.col("x.name").alias("name"), (mins if bag else F.array_distinct(mins)).alias("mins"), F.lit(False).alias("missing"))
-    keyed = files.withColumn("key", F.regexp_replace("path", "^file:/+", "/"))
-    return keyed.join(read, "key", "left").select("id", "path", "name", F.coalesce("mins", empty).alias("mins"), F.coalesce("missing", F.lit(True)).alias("missing"))
+    read = parsed.select("path", F.col("x.name").alias("name"), F.coalesce(mins if bag else F.array_distinct(mins), F.array().cast("array<bigint>")).alias("mins"), "missing")
+    return dealt.join(read, "path").select("id", "path", "name", "mins", "missing")
 
 
 def read_hash_index(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +121,7 @@ def read_md5_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, per_record: bool = False) -> DataFrame:
-    """(path, header, sequence): a file's records joined under its last header, or with per_record each record by itself."""
+    """(path, header, sequence) of small sequence files: a file's records joined under its last header, or with per_record each record by itself. A file is one row; splits.sequence_chunks() reads files of any size."""
     files = spark.read.text(path, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
     if per_record:
         record = F.split(F.col("record"), r"\r?\n", 2)
