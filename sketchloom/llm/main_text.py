@@ -1,40 +1,40 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. Text within navigation, headers, footers, sidebars, notices,
-adverts, forms, reader comments, scripts and styles doesn't count, nor does a line mostly of links outside a marked
-article; an advert inside a line leaves the rest of it. Weighted text lengths are summed over windows of WINDOW lines. Where
-a window's sum rises from nothing to SURGE or more the text begins, at the dive back to nothing it ends, and the lines
-between that count text are kept, short ones included.
-
-Marks only weigh lines. Where the marked article holds at least as much text as the rest, its lines weigh MARKED times
-their length and lines outside it what they have over OUTSIDE characters; where it holds less (an empty <main>, articles
-that are teasers) marks are not regarded. A first heading weighs MARKED times its length on every page. Lines of the
-element that holds most of the text found so weigh SURGE at least in a second turn, so that a short paragraph of it is found
-again behind an advert of several lines.
-
-A page without any surge falls back to its lines that count text. Null and empty pages have an empty text, repeated pages
-repeated texts. Pages are independent and take time in proportion to their length; other columns than page_id, url and html
-are not read.
+Markup is stripped to lines, one for each block element. Weighted text lengths are summed over windows of WINDOW lines. Text
+begins where a window's sum surges to SURGE of the page's middle sum and ends where the sums dive below it, so a page of
+short paragraphs has a low bound and one of long ones a high bound, and an advert of several lines inside the text doesn't end it.
+
+Marks weigh lines. Each element around a line that names itself navigation, notice, advert, comments and the like by class,
+id or role divides the line's weight by MARKED, and so does a form; so a whole article in a wrapper with a name like
+"share-enabled" is found, as nothing else weighs more. Outside an article that holds half of the unmarked text, lines weigh
+what they have over OUTSIDE characters. Lines mostly of links outside an article weigh nothing, nor do those in elements
+that are no text by their kind (nav, header, footer, aside, ...). First headings weigh HEADING times their length. Between
+surge and dive, the lines with the marks that weigh most together stay, and those with fewer; of marked lines only those in
+the same marked element. Scripts, styles and other elements without readable text are no lines.
+
+Null and empty pages have an empty text, repeated pages repeated texts. Pages are independent and take time in proportion
+to their length; other columns than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
-SURGE = 40
-MARKED = 4
-OUTSIDE = 2 * SURGE
+WINDOW = 5
+SURGE = 0.1
+MARKED = 8
+HEADING = 4
+OUTSIDE = 80
+NEVER = 100
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("nav header footer aside form menu dialog button select option textarea script style noscript template svg iframe object head title canvas audio video map math label input fieldset datalist search".split())
-HOLDS = frozenset("address article aside body center details dialog div figure footer form header main nav search section td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 NOISE = re.compile(
@@ -54,16 +54,17 @@ SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")  # a slash after an unquoted value
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li option".split())
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _marks(tag: str, attributes: str) -> int:
+    """What an element adds to the marks of its text: by its kind enough that it is never main text (a form may hold a whole page), one by its names and roles."""
     if tag in SKIPPED:
-        return True
+        return 1 if tag == "form" else NEVER
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return 0
     for name, *value in ATTRIBUTE.findall(attributes):
         name, text = name.lower(), next(filter(None, value), "")
         if name in ("class", "id") and any(NOISE.search(x) and not NEGATED.match(x) for x in text.split()) or name == "role" and text.lower() in ROLES or name == "aria-hidden" and text.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
+            return 1
+    return int(bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes)))
 
 
 class _Tags:
@@ -106,36 +107,34 @@ class _Tags:
 @dataclass
 class Line:
     text: str
-    counts: bool
+    marks: int  # elements around it that are marked as something else than text
     article: bool = False
     link_chars: int = 0
     heading: bool = False
-    holder: int = 0
+    holder: int = 0  # the outermost marked element around it, 0 for none
 
 
 def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, noise here, inside an article, the element that holds text here
+    stack: list[tuple[str, int, bool, int]] = []  # tag, marks here, inside an article, the outermost marked element
     open_: Counter[str] = Counter()
-    held: dict[bool, list[str]] = {False: [], True: []}  # by noise
-    noise = article = False
-    links = link_chars = holder = elements = at = 0
+    held: dict[tuple[int, int], list[str]] = {}  # by marks and holder
+    marks = holder = elements = links = at = 0
+    article = False
+    link_chars: Counter[tuple[int, int]] = Counter()
     tags = _Tags(page)
 
     def close():
-        nonlocal link_chars
-        text, other = (" ".join(html.unescape("".join(held[x])).split()) for x in (False, True))
-        if text or other:
-            out.append(Line(text or other, bool(text), article, link_chars if text else 0, open_["h1"] > 0, holder))
-        held[False].clear()
-        held[True].clear()
-        link_chars = 0
+        for m in sorted(held):
+            if text := " ".join(html.unescape("".join(held[m])).split()):
+                out.append(Line(text, m[0], article, link_chars[m], open_["h1"] > 0, m[1]))
+        held.clear()
+        link_chars.clear()
 
     def put(text: str):
-        nonlocal link_chars
         if text:
-            held[noise].append(text)
-            link_chars += len(text) if links and not noise else 0
+            held.setdefault((marks, holder), []).append(text)
+            link_chars[marks, holder] += len(text) if links else 0
 
     def pop() -> str:
         tag = stack.pop()[0]
@@ -149,7 +148,7 @@ def lines_of(page: str) -> list[Line]:
         if not tag:
             continue
         if tag == "br":
-            held[noise].append("\n")
+            put("\n")
             continue
         block = tag in BLOCKS or tag in SKIPPED
         if block:
@@ -167,58 +166,56 @@ def lines_of(page: str) -> list[Line]:
             if tag in BLOCKS and stack and stack[-1][0] in CLOSED_BY_BLOCK and (stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1][0] == tag):
                 pop()
             if block or tag == "span":
-                up = stack[-1] if stack else ("", False, False, 0)
-                elements += tag in HOLDS
-                stack.append((tag, up[1] or _is_noise(tag, attributes), up[2] or tag in ("article", "main"), elements if tag in HOLDS else up[3]))
+                up = stack[-1] if stack else ("", 0, False, 0)
+                own, elements = _marks(tag, attributes), elements + 1
+                stack.append((tag, up[1] + own, up[2] or tag in ("article", "main"), up[3] or (elements if own else 0)))
                 open_[tag] += 1
         elif closes and open_[tag] > 0:
             while pop() != tag:
                 pass
-        _, noise, article, holder = stack[-1] if stack else ("", False, False, 0)
+        _, marks, article, holder = stack[-1] if stack else ("", 0, False, 0)
     put("" if UNFINISHED.match(page[at:]) else page[at:])
     close()
     return out
 
 
-def weights(lines: list[Line]) -> list[int]:
-    """What every line brings to its windows."""
-    counts = [len(x.text) if x.counts and 2 * x.link_chars <= len(x.text) else 0 for x in lines]
-    within = [len(x.text) if x.counts and x.article else 0 for x in lines]
-    rest = sum(n for n, x in zip(counts, lines) if not x.article)
-    if sum(within) and sum(within) >= rest:
-        return [MARKED * n if x.article else max(0, c - OUTSIDE) for n, c, x in zip(within, counts, lines)]
-    return [MARKED * n if x.heading else n for n, x in zip(counts, lines)]
-
-
-def between(counts: list[int]) -> list[bool]:
-    """Lines from a surge of the windows' sums to the dive after it."""
-    keep, begun = [False] * len(counts), False
-    total, reach = sum(counts[: WINDOW - 1]), 0
-    for i in range(len(counts)):
-        total += counts[i + WINDOW - 1] if i + WINDOW - 1 < len(counts) else 0
-        begun = total > 0 and (begun or total >= SURGE)
-        if begun:
-            for j in range(max(i, reach), min(i + WINDOW, len(counts))):
-                keep[j] = True
-            reach = i + WINDOW
-        total -= counts[i]
-    return keep
+def weights(lines: list[Line]) -> list[float]:
+    """What every line brings to its windows: its length, MARKED times less for each mark; nothing if it is mostly links outside an article, and outside an article that holds at least as much unmarked text as the rest what it has over OUTSIDE characters."""
+    own = [len(x.text) if x.marks < NEVER and (x.article or 2 * x.link_chars <= len(x.text)) else 0 for x in lines]
+    plain = [n if not x.marks else 0 for n, x in zip(own, lines)]
+    within = sum(n for n, x in zip(plain, lines) if x.article)
+    if within and 2 * within >= sum(plain):
+        own = [n if x.article else max(0, n - OUTSIDE) for n, x in zip(own, lines)]
+    return [n * (HEADING if x.heading else 1) / MARKED**x.marks if n else 0.0 for n, x in zip(own, lines)]
+
+
+def spans(counts: list[float]) -> list[tuple[int, int]]:
+    """Lines from a surge of the windows' sums to the dive after it: the lines of neighbouring windows whose sums reach SURGE of the page's middle one."""
+    sums = [sum(counts[i : i + WINDOW]) for i in range(max(1, len(counts) - WINDOW + 1))] if counts else []
+    some = sorted(x for x in sums if x)
+    surge = SURGE * some[len(some) // 2] if some else 0
+    out: list[tuple[int, int]] = []
+    for i, total in enumerate(sums):
+        if total and total >= surge:
+            end = min(i + WINDOW, len(counts))
+            if out and i <= out[-1][1]:
+                out[-1] = out[-1][0], end
+            else:
+                out.append((i, end))
+    return out
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     counts = weights(lines)
-    keep = between(counts)
-    held: dict[int, int] = defaultdict(int)
-    for x, n, k in zip(lines, counts, keep):
-        held[x.holder] += len(x.text) if n and k else 0
-    most = max(held, key=held.get, default=0)
-    if 2 * held[most] > sum(held.values()):
-        counts = [max(n, SURGE) if n and x.holder == most else n for x, n in zip(lines, counts)]
-        keep = between(counts)
-    if not any(keep):
-        keep = [True] * len(counts)
-    return "\n".join(x.text for x, n, k in zip(lines, counts, keep) if n and k)
+    found = spans(counts)
+    held: Counter[tuple[int, int]] = Counter()
+    for a, b in found:
+        for x, n in zip(lines[a:b], counts[a:b]):
+            held[x.marks, x.holder] += n
+    most, holder = max(held, key=held.get, default=(0, 0))
+    stays = lambda x: x.marks < most or x.marks == most and x.holder == holder
+    return "\n".join(lines[i].text for a, b in found for i in range(a, b) if counts[i] and stays(lines[i]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
