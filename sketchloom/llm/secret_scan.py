@@ -3,7 +3,9 @@
 A stretch of at least MIN_RUN characters of keys, digits and their punctuation is random if a byte-pair vocabulary needs
 many tokens for it: words and identifiers have merges, random strings don't. Known digests (hex of a digest's length),
 UUIDs, plain numbers, one or two characters repeated and stretches made of words are excluded before the test; words are told by the same efficiency, in
-small letters and apart, as case and joints split their merges. Of a stretch that overlaps base matches, the parts outside
+small letters and apart, as case and joints split their merges. Stretches below LONG_RUN are tested with a tighter bound
+and not if they are one plain word, so random small letters alone are found from LONG_RUN characters on, other alphabets
+from MIN_RUN; random strings below MIN_RUN are not looked for. Of a stretch that overlaps base matches, the parts outside
 them are tested: parts of MIN_RUN alone, shorter ones where they go on an access or hex match without a joint.
 
 Null and empty texts give no spans. Rows are independent, so repeated rows give repeated results, and extra columns are
@@ -29,11 +31,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_RUN = 20
+MIN_RUN = 16
+LONG_RUN = 20
 MAX_RATIO = 2.1
+SHORT_RATIO = 1.8  # of stretches below LONG_RUN, whose ratios vary more
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+PLAIN_WORD = re.compile(r"[A-Z]?[a-z]+\Z")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RUN_BYTES = np.zeros(256, dtype=bool)
 _RUN_BYTES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -68,6 +73,15 @@ def is_identifier(run: str, coder, max_ratio: float = MAX_RATIO) -> bool:
     return sum(map(len, words)) > max_ratio * sum(len(coder.encode_ordinary(" " + x.lower())) for x in words)
 
 
+def is_random(run: str, coder, max_ratio: float = MAX_RATIO) -> bool:
+    """Whether a stretch needs too many tokens for its length; below LONG_RUN, plain words don't count and the bound is SHORT_RATIO."""
+    if len(run) < LONG_RUN:
+        if PLAIN_WORD.match(run):
+            return False
+        max_ratio = min(max_ratio, SHORT_RATIO)
+    return not is_identifier(run, coder, max_ratio) and ratio(run, coder) <= max_ratio
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of the base matches."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -85,14 +99,15 @@ def random_spans(text: str, base: list[tuple[int, int, int]], coder, max_ratio:
             later += 1
         near = hits = [x for x in near if a < x[2]]
         if not hits:
-            if not is_identifier(m[0], coder, max_ratio) and ratio(m[0], coder) <= max_ratio:
+            if is_random(m[0], coder, max_ratio):
                 out.append((a, 3, b))
             continue
         at = a
         for x, _, y in [*hits, (b, -1, b)]:
             part = text[at:x]
             goes_on = any(k in (1, 2) and (q == at and part[:1].isalnum() or p == x and part[-1:].isalnum()) for p, k, q in hits)
-            if part and (len(part) >= MIN_RUN or goes_on) and not is_identifier(part, coder, max_ratio) and ratio(part, coder) <= max_ratio:
+            rest = goes_on and part and not is_identifier(part, coder, max_ratio) and ratio(part, coder) <= max_ratio
+            if rest or len(part) >= MIN_RUN and is_random(part, coder, max_ratio):
                 out.append((at, 3, x))
             at = max(at, y)
     return out
