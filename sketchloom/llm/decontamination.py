@@ -312,7 +312,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not _fits(benchmark):
         keyed = docs.select(F.expr(_KEY).alias("doc_key"), F.col("text").cast("string").alias("text")).dropDuplicates(["doc_key"])
         leaks = written(_joined(keyed, benchmark).select(F.col("doc_key").alias("leak")).distinct(), "leak-keys")
-        return docs.join(unless_large(leaks, BROADCAST_KEYS), F.expr(_KEY) == F.col("leak"), "left_anti")
+        kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.expr(_KEY).alias("doc_key"))  # the columns' names clash with nothing inside
+        kept = kept.join(unless_large(leaks, BROADCAST_KEYS), F.col("doc_key") == F.col("leak"), "left_anti")
+        return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
     index = _index(benchmark)
 
     def run(batches):

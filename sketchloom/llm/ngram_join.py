@@ -436,11 +436,13 @@ def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
     counted = written(groups.join(kept, "root").groupBy("key").agg(F.bool_or(F.col("key") == F.col("kept")).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "join-going")
     released(rooted)
     going = counted.select(F.col("key").alias("going"))
-    out = docs.join(unless_large(going, BROADCAST_KEYS), key == F.col("going"), "left_anti")
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("row_key"))  # the columns' names clash with nothing inside
+    columns = [F.col(f"row.`{c}`") for c in docs.columns]
+    out = kept.join(unless_large(going, BROADCAST_KEYS), F.col("row_key") == F.col("going"), "left_anti").select(*columns)
     twice = counted.where("stays").select(F.col("key").alias("twice"))
     if not twice.limit(1).count():
         return out
-    # equal rows: one of each stays, the least by its other columns
-    equal = docs.join(unless_large(twice, BROADCAST_KEYS), key == F.col("twice"))
-    one = equal.groupBy("twice").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return out.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    # equal rows: one of each stays, the least by the text of its other columns, which any kind of column has
+    equal = kept.join(unless_large(twice, BROADCAST_KEYS), F.col("row_key") == F.col("twice"))
+    one = equal.groupBy("twice").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.unionByName(one.select(*columns))
