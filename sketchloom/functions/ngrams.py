@@ -6,21 +6,31 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            words = batch.column("words")
-            sets = []
-            for row in words.to_pylist():
-                row = row or []
-                grams = dict.fromkeys(zip(*(row[k:] for k in range(n))))
-                sets.append(np.fromiter((int.from_bytes(md5(" ".join(g).encode()).digest()[:8], "big") >> 4 for g in grams), np.int64, len(grams)))
-            ends = np.cumsum([0, *map(len, sets)])
-            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(values)).cast(pa.list_(pa.int64()))], names=["id", "mins"])
+            lists = batch.column("words")
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            words = lists.flatten().cast(pa.large_binary())
+            ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 :][: len(words)] if len(words) else np.zeros(0, np.int64)
+            base = ends[0] - len(words[0].as_py()) if len(words) else 0
+            # with one space between words an n-gram is a stretch of the joined text
+            ends = ends - base + np.arange(len(words))
+            joined = b" ".join(words.to_pylist())
+            starts = np.concatenate([[0], ends[:-1] + 1]) if len(words) else ends
+            sets, at = [], 0
+            for size in counts.tolist():
+                first, last = starts[at : at + size - n + 1].tolist(), ends[at + n - 1 : at + size].tolist()
+                grams = dict.fromkeys(joined[a:b] for a, b in zip(first, last))
+                sets.append(np.frombuffer(b"".join([md5(g).digest()[:8] for g in grams]), ">u8"))
+                at += size
+            places = np.cumsum([0, *map(len, sets)])
+            values = (np.concatenate(sets) >> np.uint64(4)).astype(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.LargeListArray.from_arrays(pa.array(places, pa.int64()), pa.array(values)).cast(pa.list_(pa.int64()))], names=["id", "mins"])
 
     return run
 

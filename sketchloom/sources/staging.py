@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -19,9 +20,32 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []  # folders that this driver has given out and scope() has not deleted
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows; one that is gone already is no error."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Owns the tables and files that operators write to the shared folder inside the block: they are deleted at its end. Results are read or written elsewhere before that."""
+    begun = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[begun:]:
+            delete(spark, path)
+        del _made[begun:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -244,3 +244,16 @@ def test_dense_rows(spark, tmp_path):
     assert {r.i: r.row for r in readers.read_dense_matrix(spark, f"{tmp_path}/matrix").collect()} == {k: [value(i, j) for j in ids] for k, i in enumerate(ids)}
     with pytest.raises(ValueError):
         pairs.jaccard_rows(half, sizes, most=4)
+
+
+def test_scope_owns_what_is_written_inside(spark):
+    from sketchloom.sources import staging
+
+    root = Path(staging.shared_root(spark).removeprefix("file://"))
+    outside = staging.written(spark.range(3), "outside")
+    before = set(root.iterdir())
+    with pytest.raises(ZeroDivisionError), staging.scope(spark):
+        assert threshold_join.contained(sized(spark, sketches(1)), 0.5).count() > 0
+        assert set(root.iterdir()) > before
+        1 / 0
+    assert set(root.iterdir()) == before and outside.count() == 3
