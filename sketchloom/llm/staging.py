@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.sources.readers import spread
-from sketchloom.sources.staging import shared_root, written
+from sketchloom.sources.staging import new_folder, shared_root, written
 
-__all__ = ["released", "shared_root", "small_batches", "small_table", "table", "unless_large", "written"]
+__all__ = ["bucketed", "released", "shared_root", "small_batches", "small_table", "table", "unless_large", "written"]
 
 
 def released(*staged: DataFrame | None) -> None:
@@ -33,6 +34,16 @@ def unless_large(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """df, written to the shared folder in buckets by a column and read back: grouping by that column then leaves it where it lies."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    table = f"staged_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
+    out = spark.table(table)
+    out.staged_path = path
+    return out
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Arrow batches of at most so many rows for the jobs run inside: a batch of whole texts is held several times over by both sides of the pipe."""
