@@ -8,6 +8,10 @@ have equal pseudonyms in all documents, and unmask() inverts it with the key. Eq
 notations, a telephone number with any separators and with or without its country code, a card or account with or without
 spaces, an address in small or large letters.
 
+Telephone numbers are those with a plus sign, those of three, three and four digits, and national ones with a leading zero
+and a separator behind the area code. National and international forms of one number are linked where ten digits follow the
+zero or the country code.
+
 What stays: whether a date's day is above 12 and whether day or month is below 10 (so that its reading stays the same), digits of a telephone number before the
 last ten, the country of an account, the top-level domain of an address. Dates are of 1900 to 2099, in digits, with years of
 four digits; a/b/year is read month first where both readings are valid. A match that fails its test is tried again at its
@@ -42,8 +46,9 @@ _PATTERNS = {
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?:(?=T\d)|(?!\w|[/.-]\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w|[.-]\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<![.,/-])0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?![/.,-]\d))(?!\w)",
 }
+_TEN_DIGITS = re.compile(r"\d{3}[.-]\d{3}[.-]\d{4}", re.A)  # without a zero of its own
 KINDS = tuple(_PATTERNS)
 PATTERNS = {k: re.compile(p, re.A) for k, p in _PATTERNS.items()}
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -186,11 +191,11 @@ def _card(text, move):
 
 
 def _phone(text, move):
-    """The last ten digits move (all but the first after a plus sign, where there are fewer)."""
+    """The last ten digits move; where there are no more, all but the first after a plus sign and but a leading zero."""
     digits = re.sub(r"\D", "", text, flags=re.A)
     if not 8 <= len(digits) <= 15:
         return None
-    n = min(10, len(digits) - (text[0] == "+"))
+    n = min(10, len(digits) - (text[0] == "+" or text[0] == "0" and not _TEN_DIGITS.fullmatch(text)))
     return _put(text, digits[:-n] + _permuted(digits[-n:], move, "phone"))
 
 
