@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -337,3 +338,25 @@ def test_pipeline(spark, tmp_path):
     assert "abc123456" not in last.text and last.n_chars == len(last.text) and all(seen["secret_scan"][i].text == clean[i] for i in range(n))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(seen["secret_scan"]) and sum(r.length for r in packed) == sum({r.doc_id: r.doc_tokens for r in packed}.values())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001/documents.parquet").exists(), reason="needs the driver's tables")
+def test_base_columns_equal_sql(spark):
+    """What the language model's contract fixes, counted by SQL: training rows, tokens and the base score."""
+    import duckdb
+
+    from sketchloom.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    sql = f"""WITH {queries._CRC_TABLE},
+d AS (SELECT doc_id, {queries._crc32("doc_id::VARCHAR")} % 5 = 1 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM read_parquet('{data}/documents.parquet'), crc_table),
+t AS (SELECT doc_id, held_out, unnest(list_append(list_transform(w, lambda x: 'w' || x), 'end')) AS token FROM d),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))) AS base_score
+FROM t LEFT JOIN c USING (token), n GROUP BY doc_id, held_out"""
+    expected = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    found = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in queries.op9_hidden_markov(spark, data).collect()}
+    assert set(found) == set(expected)
+    for i, row in expected.items():
+        assert found[i][:4] == row[:4] and found[i][4] == pytest.approx(row[4], rel=1e-9)
