@@ -15,7 +15,7 @@ from sketchloom.sources import index_store, readers, sinks, splits
 from sketchloom.sources.staging import new_folder, written
 
 HIGH, LOW = 0.7, 0.05
-PASS_ROWS = 20_000
+PASSES = 8
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +89,15 @@ def stored_index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in passes over a stored index, stopped after the first and taken up again."""
     index, path = index_store.read_index(spark, _stored(spark, sf_dir)), new_folder(spark, "passes")
-    passes.run(index, path, LOW, PASS_ROWS, most=1)
-    passes.run(index, path, LOW, PASS_ROWS)
+    rows = passes.rows_a_pass(index, PASSES)
+    passes.run(index, path, LOW, rows, most=1)
+    passes.run(index, path, LOW, rows)
     return passes.read(spark, path)
 
 
 def pass_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.plan(written(_sized(spark, sf_dir).select("id", "hash"), "pass-members"), PASS_ROWS)
+    members = written(_sized(spark, sf_dir).select("id", "hash"), "pass-members")
+    return passes.plan(members, passes.rows_a_pass(members, PASSES))
 
 
 def _page_file(spark: SparkSession, sf_dir: str) -> str:
@@ -169,7 +171,7 @@ ORACLES: dict[str, str] = {
     "stored_index_manifest": f"{_DOCS}, {_DF} SELECT count(*) AS n_hashes, sum(df)::BIGINT AS n_postings, max(df) AS max_df, (sum(df * (df - 1)) // 2)::BIGINT AS n_pairs FROM df WHERE df > 1",
     "pair_passes": f"{_D} SELECT * FROM s WHERE c_ij >= {LOW}::FLOAT::DOUBLE",
     "pass_plan": f"""{_DOCS}, {_DF}, w AS (SELECT id, sum(df)::BIGINT AS rows FROM m JOIN df ON df.hash = m.hash GROUP BY id),
-b AS (SELECT id, rows, (sum(rows) OVER (ORDER BY id) - rows) // {PASS_ROWS} AS k FROM w)
+b AS (SELECT id, rows, (sum(rows) OVER (ORDER BY id) - rows) // (SELECT sum(df * df)::BIGINT // {PASSES} + 1 FROM df) AS k FROM w)
 SELECT (row_number() OVER (ORDER BY min(id)) - 1)::INTEGER AS part, min(id) AS first, max(id) AS last, sum(rows)::BIGINT AS rows FROM b GROUP BY k""",
     "fasta_joined_kmers": murmur_sql(_JOINED, ["pos", "kmer"]),
     "fasta_record_kmers": PLAIN["kmer_mmh3"],

@@ -29,11 +29,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of any file system that Spark knows; one that is gone already is no error."""
+def _at(spark: SparkSession, path: str):
     context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file system that Spark knows has the path."""
+    system, place = _at(spark, path)
+    return system.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; one that is gone already is no error."""
+    system, place = _at(spark, path)
+    system.delete(place, True)
 
 
 @contextlib.contextmanager

@@ -152,13 +152,13 @@ def test_stored_index_is_joined_where_it_lies(spark, tmp_path):
 def test_passes_stop_and_go_on(spark, tmp_path):
     sets = sketches(12)
     table, path = sized(spark, sets), f"{tmp_path}/run"
-    assert passes.run(table, path, 0.2, rows_a_pass=1500, most=1) == [0]
+    assert passes.run(table, path, 0.2, rows=1500, most=1) == [0]
     with pytest.raises(ValueError):
         passes.read(spark, path)
     stamps = {p: p.stat().st_mtime_ns for p in Path(f"{path}/part=0").iterdir()}
     (Path(path) / "part=1").mkdir()  # a pass that failed left files without a commit
     (Path(path) / "part=1" / "part-00000.parquet").write_bytes(b"x")
-    rest = passes.run(table, path, 0.2, rows_a_pass=7)  # the stored plan counts
+    rest = passes.run(table, path, 0.2, rows=7)  # the stored plan counts
     assert rest and rest[0] == 1 and passes.run(table, path, 0.2) == []
     assert stamps == {p: p.stat().st_mtime_ns for p in Path(f"{path}/part=0").iterdir()}
     t = float(np.float32(0.2))
