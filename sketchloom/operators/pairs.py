@@ -65,13 +65,19 @@ def at_threshold(similar: DataFrame, threshold: float = 0.01) -> DataFrame:
     return similar.where(F.col("c_ij") >= float32(threshold))
 
 
-def jaccard_matrix(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> DataFrame:
-    """(i, j, value) of all cells: 1 on the diagonal, also of empty sketches, 0 for nothing in common. The size of this format is the square of the sketches; more than `most` are refused."""
+def _lines(sizes: DataFrame, most: int) -> tuple[int, DataFrame]:
+    """How many sketches there are, and (id, line) of each in order of ids; more than `most` are refused, as dense matrices grow with their square."""
     if (n := sizes.count()) > most:
         raise ValueError(f"{n} sketches make {n * n} cells; use the pair list")
-    cells = sizes.select(F.col("id").alias("i")).crossJoin(sizes.select(F.col("id").alias("j")))
-    known = similarities(pairs, sizes).select("i", "j", "jaccard")
-    return cells.join(known, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))).alias("value"))
+    return n, written(sizes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("line")), "matrix-lines")  # at most `most` rows
+
+
+def jaccard_matrix(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> DataFrame:
+    """(i, j, value) of all cells: 1 on the diagonal, also of empty sketches, 0 for nothing in common."""
+    n, lines = _lines(sizes, most)
+    cells = _rows(pairs, sizes, n, lines).select("line", F.posexplode("row").alias("column", "value"))
+    at = lambda x, name: F.broadcast(lines.select(F.col("line").alias(name), F.col("id").alias(x)))
+    return cells.join(at("i", "line"), "line").join(at("j", "column"), "column").select("i", "j", "value")
 
 
 def _dense(n: int):
@@ -96,11 +102,7 @@ def _dense(n: int):
     return run
 
 
-def jaccard_rows(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> DataFrame:
-    """(line, row) of the dense Jaccard matrix in order of ids, lines from 0: rows of as many values as there are sketches, filled up with zeros where the task has the pairs of its range of lines, 1 on the diagonal."""
-    if (n := sizes.count()) > most:
-        raise ValueError(f"{n} sketches make {n * n} cells; use the pair list")
-    lines = written(sizes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("line")), "matrix-lines")  # at most `most` rows
+def _rows(pairs: DataFrame, sizes: DataFrame, n: int, lines: DataFrame) -> DataFrame:
     known = similarities(pairs, sizes).select("i", "j", F.col("jaccard").alias("value"))
     at = lambda x, name: lines.select(F.col("id").alias(x), F.col("line").alias(name))
     cells = known.join(at("i", "line"), "i").join(at("j", "column"), "j").select("line", "column", "value")
@@ -109,6 +111,11 @@ def jaccard_rows(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> Dat
     return dealt.mapInArrow(_dense(n), "line long, row array<double>")
 
 
+def jaccard_rows(pairs: DataFrame, sizes: DataFrame, most: int = 100_000) -> DataFrame:
+    """(line, row) of the dense Jaccard matrix in order of ids, lines from 0: rows of as many values as there are sketches, filled up with zeros where the task has the pairs of its range of lines, 1 on the diagonal."""
+    return _rows(pairs, sizes, *_lines(sizes, most))
+
+
 def intersection_matrix(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(i, j, value) of the cells above 0, the sizes on the diagonal."""
     return pairs.select("i", "j", F.col("intersection").alias("value")).union(sizes.where("size > 0").select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("size").cast("long")))
