@@ -19,9 +19,10 @@ SEARCH_RESULTS = "query_name string, query_md5 string, match_name string, match_
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table whose files come to fewer input splits than the cluster has cores, dealt anew so that all of them work. Whatever is large enough to be split is left where it lies."""
+    """A table of fewer files and of fewer input splits than the cluster has cores, dealt anew so that all of them work. Tables of many files, and large files that are split anyway, are left where they lie."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(2 * cores) if 0 < table.rdd.getNumPartitions() < cores else table
+    few = 0 < len(table.inputFiles()) < cores and table.rdd.getNumPartitions() < cores
+    return table.repartition(2 * cores) if few else table
 
 
 def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:

@@ -41,3 +41,15 @@ def test_spread(spark, tmp_path):
     few, many = (readers.spread(spark.read.parquet(f"{tmp_path}/{x}")) for x in ("few", "many"))
     assert few.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and few.count() == 100
     assert many._jdf.queryExecution().analyzed().toString().find("Repartition") < 0
+
+
+def test_large_files_are_not_dealt_anew(spark, tmp_path):
+    from sketchloom.sources import readers
+
+    spark.range(20000).selectExpr("id", "sha2(string(id), 256) x").coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        table = spark.read.parquet(f"{tmp_path}/one")
+        assert len(table.inputFiles()) == 1 and readers.spread(table) is table
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
