@@ -141,7 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _DF = "df AS (SELECT hash, count(*) AS df FROM m GROUP BY hash)"
 _RANKED = f"""{_DF},
-k AS (SELECT m.id, m.hash, size, row_number() OVER (PARTITION BY m.id ORDER BY df, m.hash) - 1 AS at FROM m JOIN df ON df.hash = m.hash JOIN m_n ON m_n.id = m.id),
+f AS (SELECT min(id) AS id FROM (SELECT id, list(hash ORDER BY hash) AS mins FROM m GROUP BY id) GROUP BY mins),
+u AS (SELECT m.id, m.hash, count(*) OVER (PARTITION BY m.hash) AS df FROM m JOIN f ON f.id = m.id),
+k AS (SELECT u.id, u.hash, size, row_number() OVER (PARTITION BY u.id ORDER BY u.df, u.hash) - 1 AS at FROM u JOIN m_n ON m_n.id = u.id),
 q AS (SELECT *, (SELECT min(x) FROM (SELECT unnest(range(greatest(1, ceil(t * size)::BIGINT - 1), ceil(t * size)::BIGINT + 2)) AS x) WHERE x::DOUBLE / size >= t) AS need FROM k, (SELECT {HIGH}::FLOAT::DOUBLE AS t)),
 p AS (SELECT a.id AS i, b.id AS j, a.size AS n_i, b.size AS n_j, need, a.at AS at_i, b.at AS at_j FROM q a JOIN k b ON a.hash = b.hash AND a.id <> b.id AND a.at <= a.size - need AND b.size >= need),
 c AS (SELECT i, j FROM p GROUP BY i, j, n_i, n_j, need HAVING count(*) + least(n_i - 1 - max(at_i), n_j - 1 - max(at_j)) >= need)"""

@@ -68,6 +68,16 @@ def test_prefix_join_in_parts_and_of_nothing(spark, monkeypatch):
     assert threshold_join.contained(sized(spark, {}), 0.5).count() == 0
 
 
+def test_copies_go_through_the_prefix_join_once(spark):
+    sets = {i: set(range(50)) for i in range(60)} | {60: set(range(40)), 61: set(range(100, 120))}
+    table = sized(spark, sets)
+    row = threshold_join.join_rows(table, 0.7).first()
+    assert row.all_rows > 50 * 60 * 59 and row.prefix_rows <= 50 and row.candidates == 2
+    found = threshold_join.contained(table, 0.7).collect()
+    assert {(r.i, r.j): r.intersection for r in found} == {k: n for k, n in shares(sets).items() if n / len(sets[k[0]]) >= float(np.float32(0.7))} and len(found) == 60 * 59 + 120
+    assert threshold_join.contained(table, 1.5).count() == 0
+
+
 def test_least_common(spark):
     rows = [(n, t) for t in (0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 1.0) for n in (1, 2, 3, 7, 10, 20, 100, 999)]
     for t in sorted({t for _, t in rows}):
