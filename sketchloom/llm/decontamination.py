@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textscan
-from sketchloom.llm.staging import released, unless_large, written
+from sketchloom.llm.staging import own_name, released, unless_large, written
 from sketchloom.llm.textscan import mix
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -311,10 +311,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text overlaps an item; all columns stay."""
     if not _fits(benchmark):
         keyed = docs.select(F.expr(_KEY).alias("doc_key"), F.col("text").cast("string").alias("text")).dropDuplicates(["doc_key"])
-        leaks = written(_joined(keyed, benchmark).select(F.col("doc_key").alias("leak")).distinct(), "leak-keys")
-        kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.expr(_KEY).alias("doc_key"))  # the columns' names clash with nothing inside
-        kept = kept.join(unless_large(leaks, BROADCAST_KEYS), F.col("doc_key") == F.col("leak"), "left_anti")
-        return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+        leak = own_name("leak")
+        leaks = written(_joined(keyed, benchmark).select(F.col("doc_key").alias(leak)).distinct(), "leak-keys")
+        return docs.join(unless_large(leaks, BROADCAST_KEYS), F.expr(_KEY) == F.col(leak), "left_anti")
     index = _index(benchmark)
 
     def run(batches):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sketchloom.llm import _signatures as sig
 from sketchloom.llm import textscan
 from sketchloom.llm.components import components
-from sketchloom.llm.staging import released, small_batches, unless_large, written
+from sketchloom.llm.staging import own_name, released, small_batches, unless_large, written
 
 BLOCK = 1 << 16
 SALTS = 16
@@ -435,14 +435,13 @@ def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("root", F.col("k.key").alias("kept"))
     counted = written(groups.join(kept, "root").groupBy("key").agg(F.bool_or(F.col("key") == F.col("kept")).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "join-going")
     released(rooted)
-    going = counted.select(F.col("key").alias("going"))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("row_key"))  # the columns' names clash with nothing inside
-    columns = [F.col(f"row.`{c}`") for c in docs.columns]
-    out = kept.join(unless_large(going, BROADCAST_KEYS), F.col("row_key") == F.col("going"), "left_anti").select(*columns)
-    twice = counted.where("stays").select(F.col("key").alias("twice"))
-    if not twice.limit(1).count():
+    going, twice = own_name("going"), own_name("twice")
+    out = docs.join(unless_large(counted.select(F.col("key").alias(going)), BROADCAST_KEYS), key == F.col(going), "left_anti")
+    again = counted.where("stays").select(F.col("key").alias(twice))
+    if not again.limit(1).count():
         return out
     # equal rows: one of each stays, the least by the text of its other columns, which any kind of column has
-    equal = kept.join(unless_large(twice, BROADCAST_KEYS), F.col("row_key") == F.col("twice"))
-    one = equal.groupBy("twice").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return out.unionByName(one.select(*columns))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    equal = docs.join(unless_large(again, BROADCAST_KEYS), key == F.col(twice)).select(row.alias("row"), F.col(twice).alias("told"))
+    one = equal.groupBy("told").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.unionByName(one.select(*[F.col(f"row.`{c}`") for c in docs.columns]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sketchloom.sources.readers import spread
 from sketchloom.sources.staging import new_folder, shared_root, written
 
-__all__ = ["bucketed", "released", "shared_root", "small_batches", "small_table", "table", "unless_large", "written"]
+__all__ = ["bucketed", "own_name", "released", "shared_root", "small_batches", "small_table", "table", "unless_large", "written"]
 
 
 def released(*staged: DataFrame | None) -> None:
@@ -29,6 +29,11 @@ def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
+def own_name(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def unless_large(df: DataFrame, rows: int) -> DataFrame:
     """A staged table, to be broadcast in a join if it has at most so many rows; else Spark chooses a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df
