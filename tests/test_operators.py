@@ -152,3 +152,41 @@ def test_space_usage(spark):
     df = spark.range(1024).selectExpr("cast(id as int) id", "array(id, 7L) as mins")
     row = sketches.space_usage(df, sketches.members(df), df.selectExpr("repeat('x', 2048) as name")).first()
     assert (row.matrix_mb, row.index_mb, row.sketches_mb, row.names_mb) == (4, 0, 0, 2)
+
+
+def test_pairs_of_many_blocks(spark, monkeypatch):
+    from sketchloom.operators import grid_join
+
+    monkeypatch.setattr(grid_join, "LEAST_ROWS", 64)
+    monkeypatch.setattr(grid_join, "CELLS", 50)
+    rnd = random.Random(7)
+    sets = [{rnd.randint(-40, 40) << 50 for _ in range(rnd.randint(0, 30))} for _ in range(60)]
+    sized = sketches.sized_members(nested(spark, *sets))
+    found = pairs.similar(sized)
+    common = {(i, j): len(sets[i] & sets[j]) for i, j in itertools.permutations(range(60), 2) if sets[i] & sets[j]}
+    assert {(r.i, r.j): (r.intersection, r.jaccard, r.c_ij) for r in found.collect()} == {(i, j): (n, n / len(sets[i] | sets[j]), n / len(sets[i])) for (i, j), n in common.items()}
+    assert {(r.i, r.j) for r in pairs.similar(sized, 0.5).collect()} == {(i, j) for (i, j), n in common.items() if n / len(sets[i]) >= 0.5}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Aggregate" not in plan  # neither joined rows nor pairs are shuffled
+
+
+def test_bags_of_many_blocks(spark, monkeypatch):
+    from collections import Counter
+
+    from sketchloom.operators import grid_join
+
+    monkeypatch.setattr(grid_join, "LEAST_ROWS", 16)
+    rnd = random.Random(8)
+    bags = [[rnd.randint(0, 9) for _ in range(rnd.randint(1, 20))] for _ in range(20)]
+    df = spark.createDataFrame([(i, h) for i, bag in enumerate(bags) for h in bag] + [(3, None), (4, None)], "id int, hash bigint")
+    counted = [Counter(x) for x in bags]
+    expected = {(i, j): n for i, j in itertools.combinations(range(20), 2) if (n := sum((counted[i] & counted[j]).values()))}
+    assert {(r.i, r.j): r.intersection for r in pairs.minimum_multiplicity(df).collect()} == expected
+
+
+def test_known_sizes_of_edges(spark):
+    sizes = spark.createDataFrame([(0, 3), (1, 4), (2, 4)], "id int, size int")
+    links = spark.createDataFrame([(0, 1, 3, 4), (1, 0, 4, 3), (1, 2, 4, 4), (2, 1, 4, 4)], "src int, dst int, src_size int, dst_size int")
+    found = dereplication.dereplicate(sizes, links)
+    assert rows(found, "id") == [(2,)]
+    assert found._jdf.queryExecution().analyzed().toString().count("Join") == 1
