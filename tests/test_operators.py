@@ -190,3 +190,16 @@ def test_known_sizes_of_edges(spark):
     found = dereplication.dereplicate(sizes, links)
     assert rows(found, "id") == [(2,)]
     assert found._jdf.queryExecution().analyzed().toString().count("Join") == 1
+
+
+def test_ngrams_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sketchloom.functions import ngrams
+
+    words = [["a", "b", "c", "d"], None, [], ["x", "y"], ["a", "b", "c"] * 5]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(5)), "words": pa.array(words, pa.list_(pa.string()))})
+    whole = [r for b in ngrams._sets(3)([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(ngrams, "SLICE_WORDS", 5)
+    parts = list(ngrams._sets(3)([batch]))
+    assert len(parts) > 1 and [r for b in parts for r in b.to_pylist()] == whole
