@@ -203,3 +203,32 @@ def test_ngrams_in_slices(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "SLICE_WORDS", 5)
     parts = list(ngrams._sets(3)([batch]))
     assert len(parts) > 1 and [r for b in parts for r in b.to_pylist()] == whole
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrix_rows_shuffle_pairs_once(basic):
+    plan = _plan(pairs.jaccard_rows(pairs.intersections(basic[0]), basic[1]))
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_passes_shuffle_no_pairs(spark):
+    from sketchloom.operators import grid_join, passes
+
+    sized = sketches.sized_members(nested(spark, A, B, C, D))
+    found = passes.one_pass(sized, 0, 0, 0.6, grid_join.blocks_of(sized))
+    assert rows(found, "i", "j", "intersection") == [(0, 1, 2)]
+    assert "Exchange" not in _plan(found) and "Aggregate" not in _plan(found)
+
+
+def test_compressed_text_is_read_back(spark, tmp_path):
+    from sketchloom.sources import readers, sinks
+
+    df = spark.createDataFrame([(0, 1, 0.25, 0.5, 0.3), (2, 1, 0.1, 1.0, 0.2)], readers.PAIRS)
+    sinks.write_pairs(df, f"{tmp_path}/pairs", compression="gzip")
+    sinks.write_plain_pairs(df, f"{tmp_path}/plain", compression="gzip")
+    assert list(tmp_path.glob("pairs/*.csv.gz")) and list(tmp_path.glob("plain/*.csv.gz"))
+    assert rows(readers.read_pairs(spark, f"{tmp_path}/pairs"), "i", "j", "c_ji") == [(0, 1, 0.3), (2, 1, 0.2)]
+    assert rows(readers.read_plain_pairs(spark, f"{tmp_path}/plain"), "i", "j", "jaccard") == [(0, 1, 0.25), (2, 1, 0.1)]
