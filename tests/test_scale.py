@@ -267,3 +267,15 @@ def test_scope_owns_what_is_written_inside(spark):
         assert set(root.iterdir()) > before
         1 / 0
     assert set(root.iterdir()) == before and outside.count() == 3
+
+
+def test_products_of_sparse_and_dense_containers(spark, monkeypatch):
+    sets = {1: set(range(70000)), 2: set(range(60000, 90000)), 3: {5, 80000}}
+    made = bitmaps.containers(spark.createDataFrame([(i, c) for i, s in sets.items() for c in s], "id long, col long"))
+    found = {}
+    for dense in (0, 1 << 17):
+        monkeypatch.setattr(bitmaps, "DENSE", dense)
+        product = bitmaps.block_product(made, 2)
+        found[dense] = {(r.i, r.j): r.intersection for r in product.collect()}
+        assert ("Aggregate" in product._jdf.queryExecution().executedPlan().toString()) == (dense == 0)  # sparse: no container goes to every block, no pair is shuffled
+    assert found[0] == found[1 << 17] == {k: n for k, n in shares(sets).items() if k[0] < k[1]}
