@@ -279,3 +279,37 @@ def test_products_of_sparse_and_dense_containers(spark, monkeypatch):
         found[dense] = {(r.i, r.j): r.intersection for r in product.collect()}
         assert ("Aggregate" in product._jdf.queryExecution().executedPlan().toString()) == (dense == 0)  # sparse: no container goes to every block, no pair is shuffled
     assert found[0] == found[1 << 17] == {k: n for k, n in shares(sets).items() if k[0] < k[1]}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containers_go_on_over_batches(spark):
+    rnd = random.Random(3)
+    sets = {i: {rnd.randrange(200000) for _ in range(rnd.randint(1, 60))} for i in range(20)} | {90: set(range(65530, 65600)), 91: {c for c in range(65536) if c % 3}}
+    presence = spark.createDataFrame([(i, c) for i, s in sets.items() for c in s for _ in range(1 + (c % 5 == 0))], "id long, col long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = bitmaps.containers(presence)
+        rows = made.collect()
+        assert "Aggregate" not in plan_of(made)  # no list of places is brought together in a buffer
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    places = {(i, c): np.array(sorted(x & 65535 for x in s if x >> 16 == c)) for i, s in sets.items() for c in {x >> 16 for x in s}}
+    assert len(rows) == len(places)
+    for r in rows:
+        expected = places[r.id, r.chunk]
+        words = bitmaps.decoded(r.kind, bytes(r.data))
+        assert r.n == len(expected) and np.array_equal(words, bitmaps.bits_of(expected)) and (r.kind, bytes(r.data)) == bitmaps.encoded(expected)
+
+
+def test_places_of_hashes_by_one_shuffle(spark):
+    from sketchloom.operators import sketches as module
+
+    members = [(i, h) for i in range(30) for h in (-5, 7, i, 2**40 + i % 3)] + [(1, None)]
+    found = module.presence_matrix(spark.createDataFrame(members, "id int, hash long").distinct())
+    order = {h: k for k, h in enumerate(sorted({h for _, h in members if h is not None}, key=lambda h: h % 2**64))}
+    assert {(r.id, r.col) for r in found.collect()} == {(i, order[h]) for i, h in members if h is not None}
+    assert found.schema["id"].dataType.simpleString() == "int" and "hashpartitioning(hash" not in plan_of(found)
