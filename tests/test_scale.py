@@ -313,3 +313,13 @@ def test_places_of_hashes_by_one_shuffle(spark):
     order = {h: k for k, h in enumerate(sorted({h for _, h in members if h is not None}, key=lambda h: h % 2**64))}
     assert {(r.id, r.col) for r in found.collect()} == {(i, order[h]) for i, h in members if h is not None}
     assert found.schema["id"].dataType.simpleString() == "int" and "hashpartitioning(hash" not in plan_of(found)
+
+
+def test_work_of_passes_shuffles_members_once(spark, monkeypatch):
+    sets, plans = sketches(13), []
+    monkeypatch.setattr(passes, "written", lambda df, name: plans.append(plan_of(df)) or df)
+    work = passes.work(sized(spark, sets).select("id", "hash"))
+    counts = Counter(h for s in sets.values() for h in s)
+    assert {r.id: r.rows for r in work.collect()} == {i: sum(counts[h] for h in s) for i, s in sets.items() if s}
+    assert [p.count("hashpartitioning(hash") for p in plans] == [1]
+    assert passes.rows_a_pass(work, 4) == sum(n * n for n in counts.values()) // 4 + 1
