@@ -103,12 +103,13 @@ def presence_rows(presence: DataFrame) -> DataFrame:
 
 
 def space_usage(sketches: DataFrame, members: DataFrame, names: DataFrame | None = None, passes: int = 1, min_df: int = 2) -> DataFrame:
-    """One row of whole MB (2**20 bytes): what matrix, index, sketches and names would take as plain arrays."""
+    """One row of whole MB (2**20 bytes): what matrix, index, sketches and names would take as plain arrays. Of sketches only the rows count: any table with one for each will do."""
     mb = F.lit(1 << 20)
     n = sketches.agg(F.count("*").alias("n"))
-    size = members.agg(F.count("*").alias("postings"))
-    index = members.groupBy("hash").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).agg(F.coalesce(F.sum(8 + 4 * F.col("df")), F.lit(0)).alias("index_bytes"))
+    df = members.groupBy("hash").agg(F.count("*").alias("df"))  # of all postings, so that members are made once
+    listed = F.sum(F.when(F.col("df") >= min_df, 8 + 4 * F.col("df")))
+    size = df.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.coalesce(listed, F.lit(0)).alias("index_bytes"))
     text = (names if names is not None else sketches.select(F.lit("").alias("name"))).agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("name_bytes"))
     whole = lambda x: F.floor(x / mb).cast("long")
-    rows = n.crossJoin(size).crossJoin(index).crossJoin(text)  # one row each
+    rows = n.crossJoin(size).crossJoin(text)  # one row each
     return rows.select(F.floor(4 * F.col("n") * F.col("n") / (mb * passes)).cast("long").alias("matrix_mb"), whole(F.col("index_bytes")).alias("index_mb"), whole(8 * F.col("postings")).alias("sketches_mb"), whole(F.col("name_bytes")).alias("names_mb"))

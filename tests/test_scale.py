@@ -315,6 +315,13 @@ def test_places_of_hashes_by_one_shuffle(spark):
     assert found.schema["id"].dataType.simpleString() == "int" and "hashpartitioning(hash" not in plan_of(found)
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_n_grams_are_made_once(spark):
+    from sketchloom.plans import queries
+
+    assert plan_of(queries.space_usage(spark, str(DATA))).count("MapInArrow") == 1  # one pass over the texts
+
+
 def test_work_of_passes_shuffles_members_once(spark, monkeypatch):
     sets, plans = sketches(13), []
     monkeypatch.setattr(passes, "written", lambda df, name: plans.append(plan_of(df)) or df)
