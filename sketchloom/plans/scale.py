@@ -44,7 +44,7 @@ def hot_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hot_hash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashes that go by blocks, with the parts that each is dealt to."""
-    many = blocked_join.hot_hashes(written(_sized(spark, sf_dir).select("id", "hash"), "hot-members"), hot=16, span=32)
+    many = blocked_join.hot_hashes(_sized(spark, sf_dir).select("id", "hash"), hot=16, span=32)
     return many.select("hash", F.call_function("shiftleft", F.lit(1), F.col("bits")).alias("parts"))
 
 

@@ -320,6 +320,7 @@ def test_n_grams_are_made_once(spark):
     from sketchloom.plans import queries
 
     assert plan_of(queries.space_usage(spark, str(DATA))).count("MapInArrow") == 1  # one pass over the texts
+    assert plan_of(scale.hot_hash_blocks(spark, str(DATA))).count("MapInArrow") == 1  # and nothing is written on the way
 
 
 def test_work_of_passes_shuffles_members_once(spark, monkeypatch):
