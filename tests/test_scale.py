@@ -331,3 +331,20 @@ def test_work_of_passes_shuffles_members_once(spark, monkeypatch):
     assert {r.id: r.rows for r in work.collect()} == {i: sum(counts[h] for h in s) for i, s in sets.items() if s}
     assert [p.count("hashpartitioning(hash") for p in plans] == [1]
     assert passes.rows_a_pass(work, 4) == sum(n * n for n in counts.values()) // 4 + 1
+
+
+def test_hashes_of_one_sketch_are_not_joined(spark, monkeypatch):
+    sets = {1: {1, 2, 3, 4, 50}, 2: {1, 2, 3, 60, 61}, 3: {1, 70}}
+    table = sized(spark, sets)
+    ranked = {(r.id, r.hash): r["at"] for r in threshold_join.ranked_members(table).collect()}
+    assert ranked == {(1, 2): 2, (1, 3): 3, (1, 1): 4, (2, 2): 2, (2, 3): 3, (2, 1): 4, (3, 1): 1}  # 4, 50, 60, 61 and 70 meet nothing
+    nested = spark.createDataFrame([(i, sorted(s) * 2) for i, s in sketches(14).items()], "id long, mins array<long>")
+    plans, write = {}, threshold_join.written
+    monkeypatch.setattr(threshold_join, "written", lambda df, name: plans.update({name: plan_of(df)}) or write(df, name))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(threshold_join.contained(nested, 0.5)) == rows(threshold_join.contained(sized(spark, sketches(14)), 0.5))
+    plans.clear()
+    assert rows(threshold_join.join_rows(nested, 0.5)) == rows(threshold_join.join_rows(sized(spark, sketches(14)), 0.5))
+    threshold_join.classes(nested)
+    assert "Exchange" not in plans["threshold-sketches"] and "threshold-hashes" not in plans  # whole sketches are not taken apart and brought together again
+    assert plan_of(threshold_join.join_rows(nested, 0.5)).count("SortMergeJoin") <= 2  # prefixes are joined once for both counts
