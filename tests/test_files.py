@@ -111,3 +111,20 @@ def test_end_to_end(spark):
     sizes = members.groupBy("id").agg(F.count("*").alias("size"))
     best = pairs.similarities(pairs.intersections(members), sizes).where("i < j").collect()
     assert [(r.i, r.j) for r in best] == [(0, 1)] and best[0].c_ji == 1.0
+
+
+def test_a_sketch_is_one_file(spark, tmp_path):
+    import gzip
+    import json
+
+    from sketchloom.sources import readers, sinks
+
+    rows = [(i, f'n "{i}"' if i % 5 else None, [str(2**64 - 1 - i), str(i)]) for i in range(30)]
+    table = spark.createDataFrame(rows, "id int, name string, mins array<string>")
+    sinks.write_sketches(table, f"file://{tmp_path}/plain")
+    sinks.write_sketches(table, f"{tmp_path}/packed", compressed=True)
+    sinks.write_sketches(table.limit(0), f"{tmp_path}/none")
+    assert sorted(p.name for p in (tmp_path / "plain").iterdir() if p.suffix != ".crc") == sorted(f"id={i}.sig" for i in range(30))  # no folder for each
+    found = json.loads(gzip.decompress((tmp_path / "packed" / "id=7.sig.gz").read_bytes()))
+    assert found == [{"name": 'n "7"', "signatures": [{"mins": [2**64 - 8, 7]}]}] and list((tmp_path / "none").iterdir()) == []
+    assert readers.sketch_paths(spark, f"{tmp_path}/*").count() == 60
