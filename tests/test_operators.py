@@ -232,3 +232,21 @@ def test_compressed_text_is_read_back(spark, tmp_path):
     assert list(tmp_path.glob("pairs/*.csv.gz")) and list(tmp_path.glob("plain/*.csv.gz"))
     assert rows(readers.read_pairs(spark, f"{tmp_path}/pairs"), "i", "j", "c_ji") == [(0, 1, 0.3), (2, 1, 0.2)]
     assert rows(readers.read_plain_pairs(spark, f"{tmp_path}/plain"), "i", "j", "jaccard") == [(0, 1, 0.25), (2, 1, 0.1)]
+
+
+def test_nested_sketches_are_packed_as_they_are(spark, monkeypatch):
+    from sketchloom.operators import grid_join
+    from sketchloom.sources import staging
+
+    monkeypatch.setattr(grid_join, "LEAST_ROWS", 64)
+    rnd = random.Random(9)
+    sets = [{rnd.randint(-40, 40) << 50 for _ in range(rnd.randint(0, 30))} for _ in range(50)]
+    df = spark.createDataFrame([(i, [*s, *list(s)[:2], None]) for i, s in enumerate(sets)] + [(None, [1, 2]), (50, None), (51, [])], "id int, mins array<bigint>")
+    common = {(i, j): len(sets[i] & sets[j]) for i, j in itertools.permutations(range(50), 2) if sets[i] & sets[j]}
+    begun = len(staging._made)
+    found = pairs.intersections(df)
+    assert {(r.i, r.j): r.intersection for r in found.collect()} == common
+    left = [x for x in staging._made[begun:] if staging.exists(spark, x)]
+    assert [x.rpartition("/")[2].rpartition("-")[0][:11] for x in left] == ["grid-blocks"]  # what was packed is gone
+    assert "Exchange" not in _plan(found)
+    assert rows(pairs.similar(df, 0.5), "i", "j") == rows(pairs.similar(sketches.sized_members(df), 0.5), "i", "j")
