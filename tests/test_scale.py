@@ -112,6 +112,14 @@ def test_block_tasks_hold_two_parts(spark):
     assert {r.bits for r in hot.collect()} == {6}
 
 
+def test_pairs_of_hot_hashes_are_not_shuffled(spark):
+    sets = sketches(11)
+    found = blocked_join.blocked_intersections(sized(spark, sets).select("id", "hash"), 4, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "Join" not in plan
+    assert {(r.i, r.j): r.intersection for r in found.collect()} == {k: n for k, n in shares(sets).items() if k[0] < k[1]}
+
+
 @given(st.one_of(st.sets(st.integers(0, 65535), min_size=1, max_size=300), st.tuples(st.integers(0, 60000), st.integers(1, 5000)).map(lambda p: set(range(p[0], p[0] + p[1])))))
 def test_containers_are_small_and_come_back(places):
     values = np.array(sorted(places))
