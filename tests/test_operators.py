@@ -250,3 +250,20 @@ def test_nested_sketches_are_packed_as_they_are(spark, monkeypatch):
     assert [x.rpartition("/")[2].rpartition("-")[0][:11] for x in left] == ["grid-blocks"]  # what was packed is gone
     assert "Exchange" not in _plan(found)
     assert rows(pairs.similar(df, 0.5), "i", "j") == rows(pairs.similar(sketches.sized_members(df), 0.5), "i", "j")
+
+
+def test_recomputed_pairs_meet_no_members(spark, monkeypatch):
+    from sketchloom.operators import grid_join
+
+    monkeypatch.setattr(grid_join, "LEAST_ROWS", 64)
+    monkeypatch.setattr(grid_join, "CELLS", 40)
+    rnd = random.Random(10)
+    sets = [{rnd.randint(-40, 40) << 50 for _ in range(rnd.randint(0, 30))} for _ in range(40)] + [set(), set()]
+    df = nested(spark, *sets)
+    given = [(i, j, rnd.random()) for i in range(42) for j in range(42) if i != j] + [(0, 1, 0.5), (0, 1, None), (0, 99, 0.5), (None, 1, 0.5)]
+    right = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 0.0
+    key = lambda r: tuple(map(repr, r))
+    expected = sorted(((i, j, x, right(i, j), None if x is None else abs(x - right(i, j)) <= 1e-3) for i, j, x in given if i is not None and j < 42), key=key)
+    for found in (compare.recomputed(spark.createDataFrame(given, "i int, j int, jaccard double"), sketches.members(df), sketches.sizes(df)), compare.recomputed(spark.createDataFrame(given, "i long, j long, jaccard double"), df, in_place=True)):
+        assert sorted((tuple(r) for r in found.collect()), key=key) == expected
+    assert "Exchange" not in _plan(found) and "Join" not in _plan(found)
