@@ -29,7 +29,7 @@ def intersections(members: DataFrame, mirrored: bool = True) -> DataFrame:
 
 def minimum_multiplicity(bags: DataFrame) -> DataFrame:
     """bags(id, hash) with repeated rows -> i, j, intersection by the smaller count of each hash (i < j)."""
-    half = grid_join.half(bags.groupBy("id", "hash").agg(F.count("*").alias("times")))
+    half = grid_join.half_of(grid_join.row_blocks(bags, weighed=True))
     return half.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "intersection")
 
 

@@ -267,3 +267,22 @@ def test_recomputed_pairs_meet_no_members(spark, monkeypatch):
     for found in (compare.recomputed(spark.createDataFrame(given, "i int, j int, jaccard double"), sketches.members(df), sketches.sizes(df)), compare.recomputed(spark.createDataFrame(given, "i long, j long, jaccard double"), df, in_place=True)):
         assert sorted((tuple(r) for r in found.collect()), key=key) == expected
     assert "Exchange" not in _plan(found) and "Join" not in _plan(found)
+
+
+def _writes(monkeypatch):
+    """The plans of the tables that are written while blocks are made."""
+    from sketchloom.operators import grid_join
+
+    plans, write = {}, grid_join.written
+    monkeypatch.setattr(grid_join, "written", lambda df, name: plans.__setitem__(name, _plan(df)) or write(df, name))
+    return plans
+
+
+def test_bags_are_shuffled_once(spark, monkeypatch):
+    from sketchloom.operators import grid_join
+
+    plans = _writes(monkeypatch)
+    monkeypatch.setattr(grid_join, "BLOCK_ROWS", 8)  # repeats are added up many times on the way
+    bag = spark.createDataFrame([(i, h) for i, h, n in ((0, 5, 90), (1, 5, 70), (1, 6, 1), (2, 6, 40), (2, None, 3), (None, 5, 2)) for _ in range(n)], "id int, hash bigint")
+    assert rows(pairs.minimum_multiplicity(bag), "i", "j", "intersection") == [(0, 1, 70), (1, 2, 1)]
+    assert list(plans) == ["grid-blocks"] and plans["grid-blocks"].count("Exchange") == 1 and "Aggregate" not in plans["grid-blocks"]
