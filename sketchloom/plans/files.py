@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions import kmers, u64
-from sketchloom.operators import compare, dereplication, pairs, sketches
+from sketchloom.operators import compare, dereplication, grid_join, pairs, sketches
 from sketchloom.plans import workloads
 from sketchloom.plans.queries import ORACLES as PLAIN
 from sketchloom.plans.queries import PAIRS_SQL, SUPPLIERS_SQL
@@ -21,7 +21,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _similar(spark: SparkSession, sf_dir: str, threshold: float | None = None, with_sizes: bool = False) -> DataFrame:
-    return pairs.similar(workloads.supplier_sized(spark, sf_dir), threshold, with_sizes)
+    return pairs.measured(grid_join.half_of(workloads.supplier_blocks(spark, sf_dir), threshold), threshold, with_sizes)
 
 
 def _lists(spark: SparkSession, rows: DataFrame, column: str) -> str:
@@ -95,8 +95,9 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-replicated suppliers as a list of paths by ascending size, read back by line."""
-    sizes = workloads.supplier_sizes(spark, sf_dir)
-    edges = _similar(spark, sf_dir, 0.3, with_sizes=True).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("n_i").alias("src_size"), F.col("n_j").alias("dst_size"))
+    blocks = workloads.supplier_blocks(spark, sf_dir)  # sizes are read from them as well, members are not shuffled again for them
+    sizes = grid_join.sizes(blocks)
+    edges = pairs.measured(grid_join.half_of(blocks, 0.3), 0.3, with_sizes=True).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("n_i").alias("src_size"), F.col("n_j").alias("dst_size"))
     path = new_folder(spark, "selected")
     sinks.write_selected(dereplication.dereplicate(sizes, edges).withColumn("path", F.concat(F.lit("/sketches/supplier"), "id", F.lit(".sig"))).repartition(1), path)
     return readers.read_lines(spark, path, "path")

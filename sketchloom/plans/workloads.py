@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sketchloom.functions.ngrams import ngram_sets
+from sketchloom.operators import grid_join
 from sketchloom.sources import readers
 
 
@@ -32,11 +33,11 @@ def supplier_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).join(sold, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("size"))
 
 
-def supplier_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, size, hash): the parts that a supplier has sold, with their number."""
-    listed = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).distinct()
-    sold = supplier_members(spark, sf_dir).where("hash is not null").join(listed, "id", "left_semi")
-    return sold.select("id", F.count("*").over(Window.partitionBy("id")).alias("size"), "hash")
+def supplier_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed blocks of the listed suppliers with the parts that they have sold; a supplier without any is an empty sketch."""
+    sold = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("hash")).where("hash is not null")
+    listed = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(None).cast("long").alias("hash"))
+    return grid_join.row_blocks(sold.unionByName(listed), listed=True)
 
 
 def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,16 @@ def test_large_files_are_not_dealt_anew(spark, tmp_path):
         assert len(table.inputFiles()) == 1 and readers.spread(table) is table
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_suppliers_are_shuffled_once(spark, tmp_path, monkeypatch):
+    from sketchloom.operators import grid_join
+
+    sold = [(0, 1), (0, 2), (0, 2), (1, 1), (1, 2), (1, 3), (2, None), (2, 9), (2, 9), (7, 1), (7, 2), (None, 1)]  # 7 is not listed, 3 has sold nothing
+    spark.createDataFrame(sold, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0,), (1,), (2,), (3,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    plans, write = {}, grid_join.written
+    monkeypatch.setattr(grid_join, "written", lambda df, name: plans.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    found = files.selected_files(spark, str(tmp_path))
+    assert [r.path for r in found.orderBy("id").collect()] == [f"/sketches/supplier{i}.sig" for i in (3, 2, 1)]
+    assert list(plans) == ["grid-blocks"] and plans["grid-blocks"].count("Exchange") == 1 and "Window" not in plans["grid-blocks"]
