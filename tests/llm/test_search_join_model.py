@@ -161,6 +161,20 @@ def test_linked_sets_share_a_signature(seed):
         assert _signatures.bound_pairs(maps, [np.array([len(a)]), np.array([len(b)])])[0] >= n
 
 
+def test_rarest_tokens_make_the_prefix():
+    counts = np.concatenate([np.full(900, 100), np.arange(1, 101), [479, 480, 500, 480 * 32, 10**6]]).astype(np.uint32)
+    few = np.resize(np.array([80, 160], np.uint32), 1000)
+    for c in (counts, few, np.zeros(8, np.uint32)):
+        frequent = max(16, 4 * (int(c.sum()) // len(c)))
+        levels = ngram_join._levels(c)
+        assert np.array_equal(_signatures.classes_of(levels), (c >= frequent).astype(int) + (c >= 32 * frequent))  # what is rare stays as it was
+        assert (np.diff(levels[np.argsort(c, kind="stable")].astype(int)) >= 0).all()
+    grams = np.arange(40, dtype=np.uint64)
+    shared = ngram_join._levels(np.append(np.where(grams < 25, 400, 100), np.full(960, 120)).astype(np.uint32))[:40]  # all are rare, the first 25 in four times as many documents
+    found, kinds = _signatures.signatures(grams, _signatures.classes_of(shared), shared)
+    assert not kinds.any() and found.tolist() == list(range(25, 36))
+
+
 def test_components(spark):
     rnd = random.Random(9)
     links = [(i, i + 1) for i in range(20)] + [(rnd.randint(100, 130), rnd.randint(100, 130)) for _ in range(25)] + [(7, 7)]
