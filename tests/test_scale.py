@@ -356,3 +356,18 @@ def test_hashes_of_one_sketch_are_not_joined(spark, monkeypatch):
     threshold_join.classes(nested)
     assert "Exchange" not in plans["threshold-sketches"] and "threshold-hashes" not in plans  # whole sketches are not taken apart and brought together again
     assert plan_of(threshold_join.join_rows(nested, 0.5)).count("SortMergeJoin") <= 2  # prefixes are joined once for both counts
+
+
+def test_jaccard_of_bitmaps_shuffles_no_pair(spark, monkeypatch):
+    sets = sketches(15) | {90: set(range(70000)), 91: set(range(60000, 90000))}
+    sets = {i: {h % 2**20 for h in s} for i, s in sets.items()}
+    made = bitmaps.containers(spark.createDataFrame([(i, c) for i, s in sets.items() for c in s], "id long, col long"))
+    expected = {(i, j): (n, n / len(sets[i] | sets[j])) for (i, j), n in shares(sets).items()}
+    for dense in (0, 1 << 17):
+        monkeypatch.setattr(bitmaps, "DENSE", dense)
+        found = bitmaps.similar(made)
+        plan = plan_of(found)
+        assert ("Exchange" in plan) == (dense == 0) and (plan.count("CartesianProduct") == 1) == (dense > 0)
+        rows = found.collect()
+        assert {(r.i, r.j): (r.intersection, r.jaccard) for r in rows} == expected and len(rows) == len(expected)
+    assert plan_of(bitmaps.mirrored(bitmaps.block_product(made))).count("CartesianProduct") == 1  # pairs are counted once for both directions
