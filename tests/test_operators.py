@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 
@@ -286,3 +287,32 @@ def test_bags_are_shuffled_once(spark, monkeypatch):
     bag = spark.createDataFrame([(i, h) for i, h, n in ((0, 5, 90), (1, 5, 70), (1, 6, 1), (2, 6, 40), (2, None, 3), (None, 5, 2)) for _ in range(n)], "id int, hash bigint")
     assert rows(pairs.minimum_multiplicity(bag), "i", "j", "intersection") == [(0, 1, 70), (1, 2, 1)]
     assert list(plans) == ["grid-blocks"] and plans["grid-blocks"].count("Exchange") == 1 and "Aggregate" not in plans["grid-blocks"]
+
+
+def test_lists_of_the_same_pairs_lie_side_by_side(spark):
+    rnd = random.Random(21)
+    sets = [set(rnd.sample(range(60), rnd.randint(0, 30))) for _ in range(25)]
+    members, sizes = (f(nested(spark, *sets)) for f in (sketches.members, sketches.sizes))
+    found = pairs.similarities(pairs.intersections(members), sizes).localCheckpoint()
+    changed = F.when(F.col("i") % 2 == 0, F.col("jaccard") + 0.001).otherwise(F.col("jaccard"))
+    ours, expected = (F.col("c_ij") >= t for t in (0.2, 0.4))
+    for a, b in ((ours, expected), (expected, ours)):
+        made = compare.compare_made(found, a, b, {"jaccard": changed})
+        assert rows(made, "i", "j", "status") == rows(compare.compare_pairs(found.where(a), found.where(b).withColumn("jaccard", changed)), "i", "j", "status")
+        assert {r.status for r in made.collect()} == {"equal", "different", "extra" if a is ours else "missing"}
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    own = sizes.where("size > 0").selectExpr("id i", "1.0D jaccard")
+    queries = sizes.selectExpr("id i", "size")
+    for least in (0.1, 0.3):
+        joined = compare.count_check(queries, found.where(ours), found.select("i", "jaccard").union(own), least)
+        assert rows(compare.count_check_made(queries, found, ours, F.col("size") > 0, least), *joined.columns) == rows(joined, *joined.columns)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the driver's tables")
+def test_checks_count_pairs_once(spark):
+    from sketchloom.plans import queries
+
+    for query in (queries.validate_pairs, queries.count_check):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("CartesianProduct") == 1 and "FullOuter" not in plan
