@@ -371,3 +371,29 @@ def test_jaccard_of_bitmaps_shuffles_no_pair(spark, monkeypatch):
         rows = found.collect()
         assert {(r.i, r.j): (r.intersection, r.jaccard) for r in rows} == expected and len(rows) == len(expected)
     assert plan_of(bitmaps.mirrored(bitmaps.block_product(made))).count("CartesianProduct") == 1  # pairs are counted once for both directions
+
+
+def test_pairs_of_an_index_are_not_shuffled(spark, tmp_path):
+    sets = sketches(16)
+    index_store.write_index(sized(spark, sets), str(tmp_path), buckets=4)
+    index = index_store.read_index(spark, str(tmp_path))
+    found, joined = (f(index, 0.3) for f in (index_store.block_pairs, index_store.index_pairs))
+    assert "Exchange" not in plan_of(found) and "Exchange" in plan_of(joined)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect())) and found.columns == joined.columns
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_stored_pairs_go_by_blocks(spark):
+    assert "Exchange" not in plan_of(scale.stored_index_pairs(spark, str(DATA)))
+
+
+def test_passes_keep_their_blocks_until_the_last(spark, tmp_path, monkeypatch):
+    sets, made = sketches(17), []
+    table, path, pack = sized(spark, sets), f"{tmp_path}/run", passes.grid_join.blocks_of
+    monkeypatch.setattr(passes.grid_join, "blocks_of", lambda df, alone=True, path=None: made.append(alone) or pack(df, alone, path))
+    assert passes.run(table, path, 0.2, rows=1500, most=1, known=passes.work(table.select("id", "hash"))) == [0] and (Path(path) / "blocks/_SUCCESS").exists()
+    (Path(path) / "blocks/_SUCCESS").unlink()  # a run that failed left blocks without a commit
+    assert passes.run(table, path, 0.2, most=1) == [1] and passes.run(table, path, 0.2)
+    assert made.count(True) == 2 and not (Path(path) / "blocks").exists()
+    t = float(np.float32(0.2))
+    assert {(r.i, r.j): r.intersection for r in passes.read(spark, path).collect()} == {(i, j): n for (i, j), n in shares(sets).items() if n / len(sets[i]) >= t}
