@@ -397,3 +397,19 @@ def test_passes_keep_their_blocks_until_the_last(spark, tmp_path, monkeypatch):
     assert made.count(True) == 2 and not (Path(path) / "blocks").exists()
     t = float(np.float32(0.2))
     assert {(r.i, r.j): r.intersection for r in passes.read(spark, path).collect()} == {(i, j): n for (i, j), n in shares(sets).items() if n / len(sets[i]) >= t}
+
+
+def test_whole_sketches_are_not_shuffled_for_copies(spark, monkeypatch):
+    from sketchloom.sources import staging
+
+    sets = sketches(18) | {100 + i: set(range(i % 3, 20)) for i in range(9)}
+    nested = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, mins array<long>")
+    classes, found = {min(i for i, t in sets.items() if t == s): len(s) for s in sets.values() if s}, []
+    for rows in (staging.FEW, 0):
+        monkeypatch.setattr(threshold_join, "unless_many", lambda df, rows=rows: staging.unless_many(df, rows))
+        whole, members = threshold_join.classes(nested)
+        assert {r.id: r.size for r in whole.collect()} == classes and members.count() == sum(map(bool, sets.values()))
+        found.append(sorted(map(tuple, threshold_join.contained(nested, 0.5).collect())))
+        if rows:
+            assert "SortMergeJoin" not in plan_of(whole) and "BroadcastHashJoin" in plan_of(whole)
+    assert found[0] == found[1]
