@@ -66,3 +66,12 @@ def test_suppliers_are_shuffled_once(spark, tmp_path, monkeypatch):
     found = files.selected_files(spark, str(tmp_path))
     assert [r.path for r in found.orderBy("id").collect()] == [f"/sketches/supplier{i}.sig" for i in (3, 2, 1)]
     assert list(plans) == ["grid-blocks"] and plans["grid-blocks"].count("Exchange") == 1 and "Window" not in plans["grid-blocks"]
+
+
+def test_matrices_of_any_number_of_sketches_begin(spark):
+    from sketchloom.operators import pairs
+
+    sizes = spark.range(100_001).selectExpr("id", "1 as size")
+    matrix = pairs.jaccard_rows(spark.createDataFrame([(0, 7, 1)], "i long, j long, intersection long"), sizes)
+    first = matrix.where("line = 0").first()
+    assert len(first.row) == 100_001 and [k for k, v in enumerate(first.row) if v] == [0, 7]
