@@ -75,3 +75,14 @@ def test_matrices_of_any_number_of_sketches_begin(spark):
     matrix = pairs.jaccard_rows(spark.createDataFrame([(0, 7, 1)], "i long, j long, intersection long"), sizes)
     first = matrix.where("line = 0").first()
     assert len(first.row) == 100_001 and [k for k, v in enumerate(first.row) if v] == [0, 7]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_results_meet_names_by_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = files.search_results(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1  # pairs are shuffled to meet results, and for nothing else
