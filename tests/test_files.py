@@ -1,5 +1,7 @@
 """Readers, writers and k-mer hashes on small files."""
 
+from pathlib import Path
+
 import gzip
 import json
 import zipfile
@@ -128,3 +130,22 @@ def test_a_sketch_is_one_file(spark, tmp_path):
     found = json.loads(gzip.decompress((tmp_path / "packed" / "id=7.sig.gz").read_bytes()))
     assert found == [{"name": 'n "7"', "signatures": [{"mins": [2**64 - 8, 7]}]}] and list((tmp_path / "none").iterdir()) == []
     assert readers.sketch_paths(spark, f"{tmp_path}/*").count() == 60
+
+
+def test_long_lines_are_read_few_at_a_time(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from sketchloom.sources import splits
+
+    made, write = [], splits.written
+    monkeypatch.setattr(splits, "written", lambda *a, **k: made.append(write(*a, **k)) or made[-1])
+    (tmp_path / "long.txt").write_text("".join(f"{i} " * 40000 + "\n" for i in range(300)))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        lines = splits.numbered_lines(spark, f"{tmp_path}/long.txt", long=True)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert {(r.number, r.value[:4].split()[0]) for r in lines.collect()} == {(i, str(i)) for i in range(300)}
+    files = [pq.ParquetFile(f).metadata for f in Path(made[0].staged_path.removeprefix("file://")).glob("*.parquet")]
+    groups = sorted(f.row_group(k).num_rows for f in files for k in range(f.num_row_groups))
+    assert sum(groups) == 300 and groups[-1] <= splits.GROUP_LINES, groups
